@@ -11,6 +11,9 @@ from ..plans.lineage import ensure_checkpoint_dir
 def log_stream(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """A folder or file of Parquet log lines as a stream."""
     schema = spark.read.parquet(path).schema
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if next(iter(spark.read.parquet(path).inputFiles()), "").endswith(f"/{name}"):  # one file
+        return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
