@@ -246,7 +246,7 @@ def redact(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
 
 #: Cheap test in the JVM: only texts with one of these can hold personal information.
 GATE = (
-    r"[@＠]|(?i)[(\[] ?at ?[)\]]|\d(?:[ .\-/() ]{0,2}\d){3}|\d{1,5}[a-z]? (?:bis |ter )?,?\s*\p{L}+ |(?:str\.|straße|strasse|weg|gasse|allee|platz|graben|ufer|damm|chaussee|calle|avda|avenida|plaza|paseo|wohne|anschrift|adresse|address|habite|vivo en)|\bbox\b|postfach|"
+    r"[@＠]|(?iu)[(\[] ?at ?[)\]]|\d(?:[ .\-/() ]{0,2}\d){3}|\d{1,5}[a-z]?,? \p{L}+[ ,]|(?:str\.|straße|strasse|weg|gasse|allee|platz|graben|ufer|damm|chaussee|calle|avda|avenida|plaza|paseo|wohne|anschrift|adresse|address|habite|vivo en)|\bbox\b|postfach|"
     r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b|"
     r"\b(?:my name|i['’]m|i am|this is|ask for|nurse|midwife|signed|sign[ée]|firmado|regards|gru(?:ß|ss)|gr[üÜ](?:ß|ss)e|saludos|cordialement|appelle|llamo|nombre|name ist|hei(?:ß|ss)e|wanted to know|here|dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester|hier|ici|daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|grandmother|grandfather|colleague|neighbour|friend|tochter|sohn|fille|femme|mari|hija|hijo)\b|зовут"
 )

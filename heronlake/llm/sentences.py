@@ -301,7 +301,8 @@ def sentence_units(documents: DataFrame, weights: dict[str, float] | None = None
                     ids.append(k), no.append(i), start.append(a), end.append(b)
                     if with_text:
                         parts.append(t[a:b])
-            yield pd.DataFrame({"k": ids, "sent_no": no, "sent_start": start, "sent_end": end} | ({"sentence": parts} if with_text else {}))
+            if ids:
+                yield pd.DataFrame({"k": ids, "sent_no": no, "sent_start": start, "sent_end": end} | ({"sentence": parts} if with_text else {}))
 
     schema = f"k {kind}, sent_no int, sent_start int, sent_end int" + (", sentence string" if with_text else "")
     return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull() & F.col("t").isNotNull()).mapInPandas(cut_up, schema).withColumnRenamed("k", key)
