@@ -1,9 +1,9 @@
 """Evaluation texts leaking into training text.
 
-A positional inverted index holds (term, document, position). A held-out passage is looked up by the
-rarest term of each of its windows, so that every window of ``words`` consecutive words holds a term
-that is looked up; a hit fixes the offset between document and passage, and the postings of all other
-terms of the passage are intersected on that offset. Runs of consecutive positions give the exact
+A positional index holds the terms of every document by position; its posting lists give (term, document,
+position). A held-out passage is looked up by the rarest term of each of its windows, so that every
+window of ``words`` consecutive words holds a term that is looked up; a hit fixes the offset between
+document and passage, and the positions of all other terms of the passage are intersected on that offset. Runs of consecutive positions give the exact
 phrases, the share of terms found on the offset gives proximity matches.
 """
 
@@ -52,10 +52,29 @@ def held_out(tests: DataFrame) -> DataFrame:
     return each.select("test_id", F.concat_ws("|", "p.field", "test_id").alias("item"), tokens(F.col("p.t")).alias("terms")).where(F.size("terms") > 0)
 
 
-def index(corpus: DataFrame, key: str, text: str, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Postings ``doc, pos, term`` of every row of ``corpus``; with ``vocabulary`` (``term``) only its terms."""
-    found = corpus.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(tokens(F.col(text))).alias("pos", "term"))
-    return found if vocabulary is None else found.join(vocabulary, "term", "left_semi")
+def positions(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """The stored index: ``doc`` and its words in order as 64-bit hashes (``terms``). Posting lists
+    are read from it with ``postings``; as stored it takes eight bytes a word."""
+    found = corpus.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w"))
+    return found.select("doc", F.transform("w", lambda t: F.xxhash64(t)).alias("terms")).where(F.size("terms") > 0)
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """``doc, pos, term`` and the two terms on either side (null beyond the ends)."""
+    at = index.select("doc", "terms", F.posexplode("terms").alias("pos", "term"))
+    beside = {f"a{i}": F.get("terms", F.col("pos") + i) for i in (1, 2)} | {f"b{i}": F.get("terms", F.col("pos") - i) for i in (1, 2)}
+    return at.select("doc", "pos", "term", *(c.alias(n) for n, c in beside.items()))
+
+
+def _prepared(corpus: DataFrame, tests: DataFrame, key: str, text: str, words: int):
+    """Passages with hashed terms, the stored index, how often each held-out term occurs in the corpus,
+    and what brings a small side to all tasks."""
+    held = cut(held_out(tests).where(F.size("terms") >= words).select("test_id", "item", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms")))
+    index = cut(positions(corpus, key, text))
+    vocabulary = held.select(F.explode("terms").alias("term")).distinct()
+    near = F.broadcast if vocabulary.count() <= BROADCAST_TERMS else (lambda d: d)
+    rarity = index.select(F.explode("terms").alias("term")).join(near(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return held, index, rarity, near
 
 
 def leaked_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10) -> DataFrame:
@@ -64,48 +83,61 @@ def leaked_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk",
     that offset) and ``share`` of the passage's terms.
 
     Passages with fewer words cannot be given away and yield nothing; null texts hold nothing;
-    repeated documents each yield their rows. Work follows the postings of the held-out terms.
+    repeated documents each yield their rows. ``words`` is at least 5.
     """
-    passages = cut(held_out(tests).where(F.size("terms") >= words))
-    terms = passages.select("item", F.posexplode("terms").alias("tpos", "term"))
-    vocabulary = terms.select("term").distinct()
-    small = vocabulary.count() <= BROADCAST_TERMS
-    near = F.broadcast if small else (lambda d: d)
-    postings = cut(index(corpus, key, text, near(vocabulary)))
-    rarity = postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
+    if words < 5:
+        raise ValueError("runs of at least five words")
+    held, index, rarity, near = _prepared(corpus, tests, key, text, words)
+    terms = held.select("item", F.posexplode("terms").alias("tpos", "term"), F.col("terms").alias("all"))
+    terms = terms.select("item", "tpos", "term", *(F.get("all", F.col("tpos") + i).alias(f"ta{i}") for i in (1, 2)), *(F.get("all", F.col("tpos") - i).alias(f"tb{i}") for i in (1, 2)))
     # the rarest term of each window; a term that the corpus lacks rules its windows out
     ranked = terms.join(near(rarity), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     window = Window.partitionBy("item").orderBy("tpos").rowsBetween(0, words - 1)
-    anchors = (
-        ranked.withColumns({"best": F.min(F.struct("df", "tpos", "term")).over(window), "width": F.count(F.lit(1)).over(window)})
-        .where((F.col("width") == words) & (F.col("best.df") > 0)).select("item", F.col("best.tpos").alias("tpos"), F.col("best.term").alias("term")).distinct()
+    best = (
+        ranked.withColumns({"best": F.min(F.struct("df", "tpos")).over(window), "width": F.count(F.lit(1)).over(window)})
+        .where((F.col("width") == words) & (F.col("best.df") > 0)).select("item", F.col("best.tpos").alias("tpos")).distinct()
     )
-    offsets = postings.join(near(anchors), "term").select("doc", "item", (F.col("pos") - F.col("tpos")).alias("offset")).distinct()
-    # offset-adjusted intersection: every held-out term that stands where the offset puts it
-    wanted = offsets.join(near(terms), "item").select("doc", "item", "offset", "tpos", (F.col("tpos") + F.col("offset")).alias("pos"), "term")
-    met = wanted.join(postings, ["doc", "pos", "term"])
-    line = Window.partitionBy("doc", "item", "offset").orderBy("tpos")
-    runs = met.withColumn("island", F.col("tpos") - F.row_number().over(line)).groupBy("doc", "item", "offset", "island").agg(F.count(F.lit(1)).alias("run"))
-    best = runs.groupBy("doc", "item", "offset").agg(F.max("run").alias("run"), F.sum("run").alias("matched")).where(F.col("run") >= words)
-    out = best.groupBy("doc", "item").agg(F.max(F.struct("run", "matched")).alias("b"))
-    return out.join(F.broadcast(passages.select("item", "test_id", F.size("terms").alias("n"))) if small else passages.select("item", "test_id", F.size("terms").alias("n")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), F.col("b.run").alias("run"), F.col("b.matched").alias("matched"), F.round(F.col("b.matched") / F.col("n"), 4).alias("share"))
+    anchors = cut(terms.join(near(best), ["item", "tpos"]))
+    # a run of five or more around the looked-up term has two more terms on one side of it at least
+    after = (F.col("a1") == F.col("ta1")) & (F.col("a2") == F.col("ta2"))
+    before = (F.col("b1") == F.col("tb1")) & (F.col("b2") == F.col("tb2"))
+    offsets = cut(postings(index).join(near(anchors), "term").where(after | before).select("doc", "item", (F.col("pos") - F.col("tpos")).alias("offset")).distinct())
+    # offset-adjusted intersection of all other terms
+    met = (
+        offsets.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc")
+        .select("doc", "item", "offset", F.filter(F.sequence(F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("wanted"), F.size("terms") - F.col("offset")) - 1), lambda i: F.get("wanted", i) == F.get("terms", i + F.col("offset"))).alias("hit"), F.size("wanted").alias("n"))
+    )
+    # runs of consecutive positions: a hit starts one where its predecessor is no hit
+    run = F.aggregate(
+        "hit", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
+        lambda s, i: F.struct(i.alias("last"), F.when(i == s["last"] + 1, s["now"] + 1).otherwise(F.lit(1)).alias("now"), F.greatest(s["best"], F.when(i == s["last"] + 1, s["now"] + 1).otherwise(F.lit(1))).alias("best")),
+        lambda s: s["best"],
+    )
+    found = met.select("doc", "item", "n", run.alias("run"), F.size("hit").alias("matched")).where(F.col("run") >= words)
+    out = found.groupBy("doc", "item", "n").agg(F.max(F.struct("run", "matched")).alias("b"))
+    return out.join(near(held.select("item", "test_id")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), F.col("b.run").alias("run"), F.col("b.matched").alias("matched"), F.round(F.col("b.matched") / F.col("n"), 4).alias("share"))
 
 
 def near_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10, slop: int = 3, share: float = 0.8) -> DataFrame:
     """Proximity matches: (document, item) where at least ``share`` of the terms of a passage stand
-    on offsets that differ by at most ``slop`` from that of a rarest term, in order or nearly so."""
-    passages = cut(held_out(tests).where(F.size("terms") >= words))
-    terms = passages.select("item", F.posexplode("terms").alias("tpos", "term"), F.size("terms").alias("n"))
-    vocabulary = terms.select("term").distinct()
-    near = F.broadcast if vocabulary.count() <= BROADCAST_TERMS else (lambda d: d)
-    postings = cut(index(corpus, key, text, near(vocabulary)))
-    rarity = postings.groupBy("term").agg(F.count_distinct("doc").alias("df"))
-    ranked = terms.join(near(rarity), "term")
-    order = Window.partitionBy("item").orderBy("df", "tpos")
-    # with at most (1 - share) of the terms missing, one of the rarest that many plus one must stand
-    anchors = ranked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.ceil(F.col("n") * (1 - share)) + 1).select("item", "term", "tpos")
-    offsets = postings.join(near(anchors), "term").select("doc", "item", (F.col("pos") - F.col("tpos")).alias("offset")).distinct()
-    wanted = offsets.join(near(terms), "item").select("doc", "item", "offset", "tpos", "term", "n", F.explode(F.sequence(F.col("tpos") + F.col("offset") - slop, F.col("tpos") + F.col("offset") + slop)).alias("pos"))
-    met = wanted.join(postings, ["doc", "pos", "term"]).groupBy("doc", "item", "offset", "n").agg(F.count_distinct("tpos").alias("matched"))
+    within ``slop`` places of one offset: ``key, test_id, field, matched, share``.
+
+    Of the rarest terms of a passage, more than may be missing are looked up, so one of them stands.
+    """
+    held, index, rarity, near = _prepared(corpus, tests, key, text, words)
+    terms = held.select("item", F.size("terms").alias("n"), F.posexplode("terms").alias("tpos", "term"))
+    order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "tpos")
+    most = F.floor(F.col("n") * (1 - share)).cast("int") + 2
+    ranked = terms.join(near(rarity), "term", "left").withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("df").isNotNull())
+    anchors = cut(ranked.select("item", "term", "tpos"))
+    hits = index.select("doc", F.posexplode("terms").alias("pos", "term")).join(near(anchors), "term").select("doc", "item", "tpos", (F.col("pos") - F.col("tpos")).alias("offset"))
+    # two looked-up terms stand at offsets that differ by twice the slop at most: they share a bucket of
+    # that width or stand in neighbouring ones
+    width = 2 * slop + 1
+    spread = hits.select("doc", "item", "tpos", "offset", F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) + 1)).alias("bucket"))
+    alike = spread.groupBy("doc", "item", "bucket").agg(F.count_distinct("tpos").alias("c"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where("c >= 2")
+    tries = alike.select("doc", "item", F.explode(F.sequence("lo", "hi")).alias("offset")).distinct()
+    there = F.filter(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.exists(F.slice("terms", F.greatest(F.lit(1), i + F.col("offset") + 1 - slop), F.greatest(F.lit(0), F.least(F.lit(width), i + F.col("offset") + 1 + slop))), lambda t: t == F.get("wanted", i)))
+    met = tries.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc").select("doc", "item", F.size(there).alias("matched"), F.size("wanted").alias("n"))
     got = met.where(F.col("matched") >= F.col("n") * share).groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("n").alias("n"))
-    return got.join(passages.select("item", "test_id"), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), "matched", F.round(F.col("matched") / F.col("n"), 4).alias("share"))
+    return got.join(near(held.select("item", "test_id")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), "matched", F.round(F.col("matched") / F.col("n"), 4).alias("share"))
