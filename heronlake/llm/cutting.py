@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -40,25 +41,31 @@ def _joined(text: str, i: int) -> bool:
 
 
 def places(text: str, largest: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut places in rising order with their penalties; places inside words are only added where
-    natural ones lie too far apart for the limit."""
+    """Cut places in rising order with their penalties. Finer places are only added where coarser ones
+    lie further apart than a quarter of the room between two cuts, since they cannot pay elsewhere."""
+    n, room = len(text), max(1, largest - overlap)
     best: dict[int, float] = {}
-    for kind, pattern in _KINDS:
-        for m in pattern.finditer(text):
-            best[m.end()] = min(best.get(m.end(), 1e9), PENALTY[kind])
-    room = max(1, (largest - overlap) // 2)
-    at = [p for p in sorted(best) if 0 < p < len(text)]
-    last = 0
-    for p in [*at, len(text)]:
-        while p - last > room:
-            last += room
+    marks = [0, n]
+    for kind, pattern in reversed(_KINDS):
+        ends = {m.end() for m in pattern.finditer(text)} - best.keys()
+        if kind in ("clause", "word"):
+            gaps = [(a, b) for a, b in zip(marks, marks[1:]) if b - a > room // 4]
+            ordered = sorted(ends)
+            ends = {p for a, b in gaps for p in ordered[bisect_right(ordered, a) : bisect_left(ordered, b)]}
+        for p in ends:
+            if 0 < p < n:
+                best[p] = PENALTY[kind]
+        marks = [0, *sorted(best), n]
+    step, last = max(1, room // 2), 0
+    for p in marks[1:]:
+        while p - last > step:
+            last += step
             q = last
-            while q > last - room + 1 and _joined(text, q):
+            while q > last - step + 1 and _joined(text, q):
                 q -= 1
             best.setdefault(q, PENALTY["inside"])
         last = p
     best.pop(0, None)
-    best.pop(len(text), None)
     keys = sorted(best)
     return np.array(keys, dtype=np.int64), np.array([best[k] for k in keys])
 
@@ -78,7 +85,7 @@ def cut_text(text: str, largest: int, overlap: int) -> list[tuple[int, int]]:
     ends = np.append(at, n)
     price = np.append(cost, 0.0)
     starts = np.maximum(ends - overlap, 0)
-    if overlap:
+    if overlap and not text.isascii():
         for i, s in enumerate(starts):
             while s > 0 and _joined(text, int(s)):
                 s -= 1
@@ -87,10 +94,11 @@ def cut_text(text: str, largest: int, overlap: int) -> list[tuple[int, int]]:
     even = min(largest, (n - overlap) / count + overlap)
     total = np.full(len(ends), np.inf)
     back = np.full(len(ends), -1, dtype=np.int64)
+    first = np.searchsorted(starts, ends - largest)
     for i, e in enumerate(ends):
         if e <= largest:
             total[i] = price[i] + IMBALANCE * ((e - even) / largest) ** 2
-        lo = np.searchsorted(starts[:i], e - largest)
+        lo = first[i]
         if lo < i:
             size = e - starts[lo:i]
             t = total[lo:i] + price[i] + IMBALANCE * ((size - even) / largest) ** 2 + 1.0
