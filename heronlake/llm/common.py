@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,11 @@ from pyspark.sql import functions as F
 #: White space at the edges in the Unicode sense, no-break spaces included.
 EDGE_SPACE = r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$"
 
+#: Characters that show nothing: format characters, and controls but for tab and line break.
+INVISIBLE = re.compile(
+    "[" + "".join(re.escape(chr(i)) for i in (*range(0x110), *range(0x600, 0x620), *range(0x6D0, 0x760), *range(0x890, 0x8F0), *range(0x1800, 0x1820), *range(0x2000, 0x2070), 0xFEFF, *range(0xFFF0, 0x10000)) if unicodedata.category(chr(i)) in ("Cf", "Cc") and chr(i) not in "\t\n") + "\U000e0001\U000e0020-\U000e007f]"
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

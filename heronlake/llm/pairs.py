@@ -21,13 +21,15 @@ from pyspark.sql import types as T
 
 from ..plans.lineage import cut
 from ..plans.neighbours import with_next
-from .common import logistic
+from .common import INVISIBLE, logistic
 
 DEFECTS = ("empty", "copied", "refusal", "language", "truncated")
 #: Bound on the finished units from which the classifier of endings learns.
 TRAIN_UNITS = 30_000
 
 _TAGS = re.compile(r"<[^<>]{0,80}>")
+_ENTITIES = re.compile(r"&(?:nbsp|zwnj|zwj|#160|#8203);")
+_CONTROL = re.compile(r"[\x00-\x08\x0b-\x1f\x7f]")
 _WORD = re.compile(r"[^\W_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _LEAD = re.compile(
@@ -44,8 +46,9 @@ def visible(text: str | None) -> str:
     """Text without tags, entities and characters that show nothing."""
     if not text:
         return ""
-    t = re.sub(r"&(?:nbsp|zwnj|zwj|#160|#8203);", " ", _TAGS.sub(" ", text))
-    return "".join(c for c in t if unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co") or c in "\n\t").strip()
+    t = _TAGS.sub(" ", text) if "<" in text else text
+    t = _ENTITIES.sub(" ", t) if "&" in t else t
+    return (_CONTROL if t.isascii() else INVISIBLE).sub("", t).strip()
 
 
 def is_empty(answer: str | None) -> bool:
@@ -132,11 +135,18 @@ _DEFLECT = re.compile(
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|(?<=[。！？])")
 
 
+#: One of these stands in whatever ``_REFUSE`` matches.
+_HINTS = ("n't", "n’t", "not", "unable", "decline", "refuse", "outside", "pass", "no answer", "may answer", "nicht", "kein", "pas", "impossible", "refuse", "décliner", "no ", "не", "отказываюсь", "затрудняюсь", "无法", "不", "没", "抱歉", "ません", "かね", "差し控え")
+
+
 def is_refusal(answer: str) -> bool:
     """Declines or says that it cannot answer, and says nothing else but where to turn."""
     parts = [p.strip() for p in _SENTENCE.split(visible(answer)) if p and p.strip()]
     if not parts or len(parts) > 6:
         return False
+    low = answer.lower()
+    if not any(h in low for h in _HINTS):
+        return False
     said = [bool(_REFUSE.search(p)) for p in parts]
     if not any(said):
         return False
@@ -162,14 +172,14 @@ for _lang, _words in _FUNCTION_WORDS.items():
     for _w in _words.split():
         _BY_WORD.setdefault(_w, []).append(_lang)
 #: Letters and marks that speak for a language, and how much.
-_MARKS = tuple((re.compile(p), g, n) for p, g, n in (("[äöüß]|„", "de", 0.8), ("[¿¡ñ]", "es", 1.0), ("[óíú]", "es", 0.5), ("[èêçœùûë]", "fr", 0.8), (r"(?i)\b(?:[dljnsmtc]|qu)['’](?=[a-zà-ÿ])", "fr", 0.9), ("[ãõ]", "pt", 0.8)))
+_MARKS = tuple((re.compile(p), g, n) for p, g, n in (("[äöüß]|„", "de", 0.8), ("[¿¡ñ]", "es", 1.0), ("[óíú]", "es", 0.5), ("[èêçœùûë]", "fr", 0.8), ("[ãõ]", "pt", 0.8), (r"(?i)\b(?:[dljnsmtc]|qu)['’](?=[a-zà-ÿ])", "fr", 0.9)))
 _SCRIPTS = ((0x400, 0x52F, "ru"), (0x600, 0x6FF, "ar"), (0x900, 0x97F, "hi"), (0xE00, 0xE7F, "th"), (0x3040, 0x30FF, "ja"), (0x3400, 0x9FFF, "han"), (0xAC00, 0xD7AF, "ko"))
 
 
 def language(text: str) -> tuple[str | None, float]:
     """Language in which most of a text is written, and its share; None where there is too little."""
     weight: dict[str, float] = {}
-    for c in text:
+    for c in () if text.isascii() else text:
         o = ord(c)
         if o >= 0x400:
             for lo, hi, name in _SCRIPTS:
@@ -185,7 +195,7 @@ def language(text: str) -> tuple[str | None, float]:
         langs = _BY_WORD.get(w, ())
         for g in langs:
             hits[g] = hits.get(g, 0) + 1 / len(langs) + 0.01
-    for pattern, name, n in _MARKS:
+    for pattern, name, n in _MARKS[-1:] if text.isascii() else _MARKS:
         if found := len(pattern.findall(text)):
             hits[name] = hits.get(name, 0) + n * min(found, 3)
     if hits:
