@@ -19,7 +19,7 @@ from ..plans.lineage import cut
 from ..plans.skew import heavy_keys, salted_join
 from .common import clean_id
 
-BINS = 100
+BINS = 200
 #: Blocks whose bin totals are differenced together in one group: a group has BLOCKS * BINS rows.
 BLOCKS = 64
 
