@@ -38,7 +38,7 @@ _ID = re.compile(
 )
 _SSN = re.compile(r"(?<![\w.-])\d{3}([- ])\d{2}\1\d{4}(?![\w-])")
 _PHONE = re.compile(
-    r"(?<![\w.,/-])(?<!\w[-/])(?:\+|00(?=[1-9]))?\(?\d(?:[ .\-/() ]{0,2}\d){6,14}(?:\s?(?:ext\.?|x|durchwahl|poste)\s?\d{1,5})?(?![\w%])(?!\s?(?:mg|µg|μg|g|kg|ml|mmol|units?|mmhg|tablets?)\b)",
+    r"(?<![\w.,/-])(?<!\w[-/])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .\-/]?)?\d(?:[ .\-/ ]{0,2}\d){5,14}(?:\s?(?:ext\.?|x|durchwahl|poste)\s?\d{1,5})?(?![\w%])(?!\s?(?:mg|µg|μg|g|kg|ml|mmol|units?|mmhg|tablets?)\b)",
     re.I,
 )
 _DIGIT_WORD = r"(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|double|triple)"
@@ -59,7 +59,7 @@ _ADDRESS = re.compile(
             r"(?<!\w)(?:p\.?\s?o\.?\s?box|postfach|apartado(?:\s+de\s+correos)?|b\.p\.)\s*\d+(?:,\s*[^\W\d_]\w+)?",
             r"(?<![\w.])\d{1,4}(?:\s?(?:bis|ter|quater))?,?\s+(?:rue|avenue|av\.|boulevard|bd|chemin|place|allée|impasse|quai|route|square)\s+(?:de\s+la\s+|de\s+l['’]|des\s+|du\s+|de\s+|d['’])?[^\W\d_][\w'’-]+(?:,?\s*\d{5}\s[^\W\d_][\w-]+)?",
             r"(?<!\w)(?:calle|c/|avda\.?|avenida|plaza|paseo|camino|carretera|ronda|travesía)\s+(?:(?:de|del|la|las|los|el)\s+){0,2}[^\W\d_][\w'’-]+(?:\s[^\W\d_][\w'’-]+)?,?\s*(?:n\.?\s?º\s*|núm\.?\s*)?\d{1,4}(?:,\s*\d{1,2}\s?º\s?\w?)?",
-            r"(?<!\w)[^\W\d_]{2,}(?:str\.|straße|strasse|weg|gasse|allee|platz|damm|ufer|graben|chaussee)\s*\d{1,4}\s?[a-z]?(?!\w)(?:,?\s*\d{5}\s[^\W\d_][\w-]+)?",
+            r"(?<!\w)[^\W\d_]{2,}(?:str\.|straße|strasse|weg|gasse|allee|platz|damm|ufer|graben|chaussee)\s*\d{1,4}(?:[^\S\n]?[a-z])?(?!\w)(?:,?\s*\d{5}\s[^\W\d_][\w-]+)?",
         )
     ),
     re.I,
@@ -67,7 +67,7 @@ _ADDRESS = re.compile(
 _ADDRESS_DE = re.compile(r"(?<!\w)(?:Am|An der|Im|Auf dem|Zum|Zur)\s[A-ZÄÖÜ][\wäöüß-]+\s\d{1,4}[a-z]?(?!\w)(?!\.)(?:,?\s*\d{5}\s[^\W\d_][\w-]+)?")
 _ADDRESS_CUED = re.compile(
     r"(?:my address is|i live at|we moved to|pickup from|leaflet to|ich wohne (?:in der|in|am)|anschrift:?|meine adresse(?: ist|:)?|adresse\s?:|j['’]habite(?: au)?|envoyez-le au|vivo en|mi dirección(?::| es))\s+"
-    r"(?P<v>[^\n;!?()@]{0,40}?\d{1,5}\s?[a-z]?(?!\w)(?:,\s*\d{5}\s[^\W\d_]\w+)?)",
+    r"(?P<v>[^\n;!?()@]{0,40}?\d{1,5}(?:[^\S\n]?[a-z])?(?!\w)(?:,\s*\d{5}\s[^\W\d_]\w+)?)",
     re.I,
 )
 
@@ -207,10 +207,10 @@ class Finder:
             for m in _ID.finditer(text):
                 if sum(c.isdigit() for c in m["v"]) >= 4:
                     add(*m.span("v"), "id_number")
-            for m in _ADDRESS.finditer(text):
-                add(*m.span(), "address")
             for m in _ADDRESS_DE.finditer(text):
                 add(*m.span(), "address")
+            for m in _ADDRESS.finditer(text):
+                add(*m.span(), "address")
             for m in _ADDRESS_CUED.finditer(text):
                 add(*m.span("v"), "address")
             for m in _PHONE.finditer(text):
@@ -227,7 +227,7 @@ class Finder:
                 add(*m.span(), "phone")
         for a, b in self._names(text):
             words = re.findall(r"[^\W\d_]{2,}", text[a:b])
-            while words and words[-1].lower() in _NOT_NAME:
+            while words and (words[-1].lower() in _NOT_NAME or words[-1].islower() and words[0][0].isupper()):
                 b = a + text[a:b].rindex(words.pop())
             if words and words[0].lower() not in _NOT_NAME:
                 add(a, a + len(text[a:b].rstrip(" .,'-")), "name")
