@@ -162,11 +162,11 @@ def cut_items(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     pieces = F.when(F.col("oversized"), _pieces(F.when(F.col("oversized"), F.col("content")), "_max", "_lap")).otherwise(whole)
     cut = rows.withColumn("_pieces", pieces)
     parent = F.coalesce(F.concat(F.lit("p"), "parent_id"), F.concat(F.lit("c"), F.col("chunk_pk").cast("string")))
-    cut = cut.withColumns({"_parent": parent, "_block": F.floor(F.coalesce(F.col("chunk_id"), F.lit(-1)) / 4096).cast("long"), "_n": F.size("_pieces")})
+    cut = cut.withColumns({"_parent": parent, "_block": F.when(F.col("chunk_id").isNull(), F.floor(F.col("chunk_pk") / 4096) - (1 << 60)).otherwise(F.floor(F.col("chunk_id") / 4096)).cast("long"), "_n": F.size("_pieces")})
     blocks = cut.groupBy("_parent", "_block").agg(F.sum("_n").alias("_in"))
     over = Window.partitionBy("_parent").orderBy("_block")
     blocks = blocks.select("_parent", "_block", (F.sum("_in").over(over) - F.col("_in")).alias("_before"), F.sum("_in").over(Window.partitionBy("_parent")).alias("_total"))
-    inside = Window.partitionBy("_parent", "_block").orderBy(F.coalesce(F.col("chunk_id"), F.lit(-1)), "chunk_pk")
+    inside = Window.partitionBy("_parent", "_block").orderBy("chunk_id", "chunk_pk")
     numbered = cut.withColumn("_first", F.sum("_n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).join(blocks, ["_parent", "_block"])
     out = numbered.select("*", F.posexplode("_pieces").alias("piece_no", "_piece"))
     fresh = {"content": F.col("_piece.piece_text"), "piece_start": F.col("_piece.piece_start"), "piece_end": F.col("_piece.piece_end"), "chunk_id": (F.col("_before") + F.col("_first") + F.col("piece_no")).cast("int"), "total_chunks": F.col("_total").cast("int")}

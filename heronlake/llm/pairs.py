@@ -21,11 +21,14 @@ from pyspark.sql import types as T
 
 from ..plans.lineage import cut
 from ..plans.neighbours import with_next
+from ..plans.skew import heavy_keys, salted_join
 from .common import INVISIBLE, logistic
 
 DEFECTS = ("empty", "copied", "refusal", "language", "truncated")
 #: Bound on the finished units from which the classifier of endings learns.
 TRAIN_UNITS = 30_000
+#: Length limits of models are looked for up to this length, which bounds the table of spikes.
+SPIKE_LENGTHS = 100_000
 
 _TAGS = re.compile(r"<[^<>]{0,80}>")
 _ENTITIES = re.compile(r"&(?:nbsp|zwnj|zwj|#160|#8203);")
@@ -324,7 +327,7 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS) -> DataFrame:
     # responses and units in one sort: "u" units, "r" whole responses
     keyed = kinds.select(F.concat(F.lit("u"), "text").alias("key"), "finished", "open").union(judged.select(F.concat(F.lit("r"), "whole").alias("key"), F.lit(False), F.lit(1)).where("key is not null").distinct())
     beside = with_next(keyed, "key").where("open = 1").select("key", "finished", F.coalesce(F.startswith("next", "key") & (F.length("next") > F.length("key") + 1), F.lit(False)).alias("carried_on"))
-    spikes = open_ends.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    spikes = open_ends.where(F.col("length") <= SPIKE_LENGTHS).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     near = spikes.alias("a").join(spikes.select(F.col("length").alias("l2"), F.col("n").alias("n2")).withColumn("at", F.explode(F.sequence(F.col("l2") - 8, F.col("l2") + 8))).alias("b"), F.col("a.length") == F.col("b.at")).groupBy("a.length", "a.n").agg(((F.sum("n2") - F.col("n")) / 16).alias("around"))
     spikes = near.where((F.col("n") >= 12) & (F.col("n") > 6 * F.col("around"))).select("length", F.lit(True).alias("spike"))
 
@@ -343,9 +346,12 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS) -> DataFrame:
     of_whole = beside.where(F.startswith("key", F.lit("r"))).select(F.substring("key", 2, 1 << 30).alias("whole"), F.col("carried_on").alias("whole_on"))
     # a short answer that is a phrase and no sentence needs no end mark
     phrase = F.col("ending").rlike(r"^(?:\p{Ll}[\p{Ll} ]|0)") & (F.col("ending") == F.col("whole")) & (F.size(F.split("ending", " ")) <= 6)
+    # one ending or one text may hold a large part of the rows
+    ends = open_ends.select("src_table", "pair_key", "ending", "whole", "length").distinct()
+    ends = salted_join(ends, of_unit.withColumnRenamed("text", "ending"), "ending", heavy=heavy_keys(open_ends, "ending"), spread_by=["pair_key"])
+    ends = salted_join(ends, of_whole, "whole", "left", heavy=heavy_keys(open_ends, "whole"), spread_by=["pair_key"])
     known = (
-        open_ends.select("src_table", "pair_key", "ending", "whole", "length").distinct()
-        .join(of_unit.withColumnRenamed("text", "ending"), "ending").join(of_whole, "whole", "left").join(F.broadcast(spikes), "length", "left")
+        ends.join(F.broadcast(spikes), "length", "left")
         .withColumn("unfinished", F.when(F.col("finished") | phrase, F.lit(False)).when(F.col("carried_on") & (F.col("score") > -2.0), F.lit(True)).when(F.col("whole_on") & (F.col("score") > -2.0), F.lit(True)).otherwise(F.col("score") > F.when(F.col("spike"), F.lit(-1.0)).otherwise(F.lit(0.0))))
         .where("unfinished").select("src_table", "pair_key", "ending").distinct().withColumn("cut_off", F.lit(True))
     )
