@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.fixed import QUESTION_WORDS, REFORMULATIONS
+from ..functions.fixed import QUESTION_WORDS, REFORMULATIONS, SYNONYMS
 from ..functions.text import expand_abbreviations, sanitise
 
 
@@ -19,6 +19,14 @@ def reformulation(question: Column) -> Column:
     return out
 
 
+def synonym_variants(question: Column, most: int = 3) -> Column:
+    """The lower-case question with each phrase that it contains replaced by its synonyms, ``most`` at most."""
+    low = F.lower(question)
+    none = F.array().cast("array<string>")
+    made = [F.when(F.contains(low, F.lit(p)), F.array(*[F.replace(low, F.lit(p), F.lit(s)) for s in syn])).otherwise(none) for p, syn in SYNONYMS]
+    return F.slice(F.concat(*made), 1, most)
+
+
 def decomposed(question: Column) -> Column:
     """Parts of a question joined by "and", each made a question; empty where there is one part."""
     parts = F.transform(F.split(question, " and "), F.trim)

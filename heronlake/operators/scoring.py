@@ -36,8 +36,9 @@ def retrieval_confidence(scores: Column) -> Column:
 
 
 def fast_confidence(mean: Column, top: Column) -> tuple[Column, Column]:
-    score = F.round(0.4 * mean + 0.6 * top, 3)
-    return score, F.when(score >= 0.65, "high").when(score >= 0.35, "medium").otherwise("low")
+    """Score to three places, and the level of the unrounded score; without scores the level is low."""
+    score = 0.4 * mean + 0.6 * top
+    return F.round(score, 3), F.when(score >= 0.65, "high").when(score >= 0.35, "medium").otherwise("low")
 
 
 def answerable(scores: Column, floor: float = 0.01) -> Column:

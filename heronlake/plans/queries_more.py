@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import matching, retrieval, scoring
+from ..functions.fixed import SYNONYMS
+from ..operators import evaluation, matching, retrieval, rewrite, scoring
 from ..operators.evaluation import overlap_share
 from ..streaming import feedback_stream as ST
 from .queries_evaluation import _LABELLED
@@ -145,3 +146,63 @@ def question_coverage(spark: SparkSession, d: str) -> DataFrame:
     t = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_]{4,})"), F.lit(1))
     q = table(spark, d, "qa_pair").where("question is not null and answer is not null")
     return q.select("pair_id", F.round(overlap_share(t("question"), t("answer")), 6).alias("covered")).where("covered is not null")
+
+
+_SYN = "list_concat(" + ", ".join("CASE WHEN contains(q, '{0}') THEN [{1}] ELSE []::VARCHAR[] END".format(p.replace("'", "''"), ", ".join("replace(q, '{0}', '{1}')".format(p.replace("'", "''"), s.replace("'", "''")) for s in syn)) for p, syn in SYNONYMS) + ")"
+
+
+@query(f"""WITH t AS (SELECT response_id, received_at, lower(question) AS q FROM response_trajectory WHERE question IS NOT NULL), v AS (SELECT response_id, received_at, ({_SYN})[1:3] AS v FROM t)
+  SELECT response_id, received_at, (generate_subscripts(v, 1) - 1)::INT AS variant, unnest(v) AS query FROM v""")
+def synonym_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Questions with phrases replaced by words of the same meaning."""
+    t = table(spark, d, "response_trajectory").where("question is not null")
+    return t.select("response_id", "received_at", F.posexplode(rewrite.synonym_variants(F.col("question"))).alias("variant", "query"))
+
+
+@query(r"""WITH t AS (SELECT category, rouge_fmeasure AS r, list_distinct(regexp_extract_all(lower(coalesce(reference, '')), '([a-z]{4,})', 1)) AS k, lower(coalesce(response, '')) AS a FROM ragas_standard_tinyllama_10),
+  c AS (SELECT category, r, CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: contains(a, x)))::DOUBLE / len(k) END AS cov FROM t)
+  SELECT category, count(*) AS n, round(avg(cov), 6) AS coverage, count(CASE WHEN cov >= 0.4 AND (r IS NULL OR r >= 0.2) THEN 1 END) AS correct FROM c GROUP BY category""")
+def correctness(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that cover two fifths of the reference's words and come near it in sequence, by category."""
+    r = table(spark, d, "ragas_standard_tinyllama_10")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("reference", F.lit(""))), F.lit("([a-z]{4,})"), F.lit(1)))
+    c = r.select("category", "rouge_fmeasure", evaluation.keyword_coverage(F.col("response"), words).alias("cov"))
+    return c.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("cov"), 6).alias("coverage"), F.count_if((F.col("cov") >= 0.4) & (F.col("rouge_fmeasure").isNull() | (F.col("rouge_fmeasure") >= 0.2))).alias("correct"))
+
+
+#: Kinds of values that are compared between answer and reference.
+_ENTITIES = (("dose", r"([0-9]+(?:\.[0-9]+)? ?(?:mg/kg|mg|ml))"), ("duration", r"([0-9]+ (?:hours?|days?|weeks?|months?))"), ("percentage", r"([0-9]+(?:\.[0-9]+)?%)"))
+
+
+@query(" UNION ALL ".join(f"""SELECT '{n}' AS kind, count(*) AS n, sum(len(list_intersect(a, b)))::BIGINT AS common, sum(len(a))::BIGINT AS given, sum(len(b))::BIGINT AS wanted,
+  round(sum(len(list_intersect(a, b)))::DOUBLE / greatest(1, sum(len(a))), 6) AS "precision", round(sum(len(list_intersect(a, b)))::DOUBLE / greatest(1, sum(len(b))), 6) AS recall
+  FROM (SELECT list_distinct(regexp_extract_all(lower(coalesce(response, '')), '{p}', 1)) AS a, list_distinct(regexp_extract_all(lower(coalesce(reference, '')), '{p}', 1)) AS b FROM ragas_standard_tinyllama_10)""" for n, p in _ENTITIES))
+def entity_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Doses, durations and percentages of answers held against the references; one scan for all kinds."""
+    r = table(spark, d, "ragas_standard_tinyllama_10")
+    found = lambda c, p: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(p), F.lit(1)))
+    e = r.select(F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), found("response", p).alias("a"), found("reference", p).alias("b")) for n, p in _ENTITIES])).alias("e")).select("e.*")
+    both = F.size(F.array_intersect("a", "b"))
+    g = e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum(both).alias("common"), F.sum(F.size("a")).alias("given"), F.sum(F.size("b")).alias("wanted"))
+    share = lambda c: F.round(F.col("common") / F.greatest(F.lit(1), F.col(c)), 6)
+    return g.select("*", share("given").alias("precision"), share("wanted").alias("recall"))
+
+
+@query(r"""WITH c AS (SELECT pair_id, unnest(list_distinct(regexp_extract_all(answer, '((?:Fig|Sect|Table)\.? [0-9]+(?:\.[0-9]+)?)', 1))) AS cited, lower(coalesce(context, '')) AS c FROM qa_pair WHERE answer IS NOT NULL)
+  SELECT pair_id, cited FROM c WHERE NOT contains(c, lower(cited))""")
+def unseen_citations(spark: SparkSession, d: str) -> DataFrame:
+    """Figures, sections and tables that an answer cites and its context does not name."""
+    q = table(spark, d, "qa_pair").where("answer is not null")
+    c = q.select("pair_id", F.lower(F.coalesce("context", F.lit(""))).alias("c"), F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"((?:Fig|Sect|Table)\.? [0-9]+(?:\.[0-9]+)?)"), F.lit(1)))).alias("cited"))
+    return c.where(~F.contains("c", F.lower("cited"))).select("pair_id", "cited")
+
+
+@query("""WITH s AS (SELECT response_id, received_at, greatest(0, least(1, 0.6::DOUBLE * coalesce(outcome.confidence_score, 0.7::DOUBLE) + 0.4::DOUBLE * coalesce(list_avg(retrieval.scores[1:3]), 0.5::DOUBLE) + least(0.05::DOUBLE * coalesce(len(retrieval.scores), 0), 0.2::DOUBLE))) AS c FROM response_trajectory)
+  SELECT response_id, received_at, round(c, 6) AS confidence FROM s""")
+def combined_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """Confidence of generation, of the first three hits, and a little for each hit."""
+    s = F.col("retrieval.scores")
+    top = F.slice(s, 1, 3)
+    mean = F.when(F.size(top) > 0, F.aggregate(top, F.lit(0.0), lambda a, x: a + x) / F.size(top))
+    c = 0.6 * F.coalesce("outcome.confidence_score", F.lit(0.7)) + 0.4 * F.coalesce(mean, F.lit(0.5)) + F.least(0.05 * F.greatest(F.lit(0), F.coalesce(F.size(s), F.lit(0))), F.lit(0.2))
+    return table(spark, d, "response_trajectory").select("response_id", "received_at", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)), 6).alias("confidence"))

@@ -22,13 +22,12 @@ def retrieval_confidence(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "response_trajectory").select("response_id", "received_at", F.round(C.retrieval_confidence(F.col("retrieval.scores")), 6).alias("confidence"))
 
 
-@query("""WITH s AS (SELECT response_id, received_at, round(0.4 * retrieval.mean_score + 0.6 * retrieval.max_score, 3) AS score FROM response_trajectory WHERE retrieval.mean_score IS NOT NULL)
-  SELECT response_id, received_at, CASE WHEN score >= 0.65 THEN 'high' WHEN score >= 0.35 THEN 'medium' ELSE 'low' END AS level FROM s WHERE abs(score - 0.65) > 0.0015 AND abs(score - 0.35) > 0.0015""")
+@query("""WITH s AS (SELECT response_id, received_at, 0.4::DOUBLE * retrieval.mean_score + 0.6::DOUBLE * retrieval.max_score AS score FROM response_trajectory)
+  SELECT response_id, received_at, CASE WHEN score >= 0.65::DOUBLE THEN 'high' WHEN score >= 0.35::DOUBLE THEN 'medium' ELSE 'low' END AS level FROM s""")
 def fast_confidence(spark: SparkSession, d: str) -> DataFrame:
-    """Level from mean and best score; rows at a limit of two levels, where rounding tells, apart."""
-    t = table(spark, d, "response_trajectory").where("retrieval.mean_score is not null")
-    score, level = C.fast_confidence(F.col("retrieval.mean_score"), F.col("retrieval.max_score"))
-    return t.where((F.abs(score - 0.65) > 0.0015) & (F.abs(score - 0.35) > 0.0015)).select("response_id", "received_at", level.alias("level"))
+    """Level from the mean and the best score."""
+    _, level = C.fast_confidence(F.col("retrieval.mean_score"), F.col("retrieval.max_score"))
+    return table(spark, d, "response_trajectory").select("response_id", "received_at", level.alias("level"))
 
 
 @query("""SELECT action.pipeline AS pipeline, count(*) AS n, count(CASE WHEN len(list_filter(retrieval.scores, lambda x: x >= greatest(0.01, 0.5 * list_max(retrieval.scores)))) > 0 THEN 1 END) AS answerable, sum(coalesce(len(list_filter(retrieval.scores, lambda x: x >= greatest(0.01, 0.5 * list_max(retrieval.scores)))), 0))::BIGINT AS kept FROM response_trajectory GROUP BY 1""")
