@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.fixed import LOG_REDACTION, REFORMULATIONS
+from ..functions.fixed import HARM, LOG_REDACTION, REFORMULATIONS
 from ..operators import chunking, rewrite, safety
 from .registry import query, table
 
@@ -144,7 +144,12 @@ def input_levels(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy(safety.input_level(F.col("question")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _harm_sql() -> str:
+    parts = " + ".join("CASE WHEN regexp_matches(coalesce(answer, ''), '(?i){0}') THEN {1}::DOUBLE ELSE 0 END".format(p.replace("'", "''"), w) for p, _, w in HARM)
+    return f"SELECT pair_id, harm, CASE WHEN harm < 0.2 THEN 'low' WHEN harm < 0.5 THEN 'moderate' WHEN harm < 0.8 THEN 'high' ELSE 'critical' END AS level FROM (SELECT pair_id, round(least(1.0::DOUBLE, {parts}), 6) AS harm FROM qa_pair)"
+
+
+@query(_harm_sql())
 def answer_harm(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "qa_pair").select("pair_id", safety.harm_score(F.col("answer")).alias("harm"))
     return a.select("pair_id", "harm", safety.harm_level(F.col("harm")).alias("level"))
