@@ -39,10 +39,11 @@ def _odd_words(texts: pd.Series) -> pd.Series:
 
 
 def tokens(text: Column) -> Column:
-    """Array of words. Plain ASCII stays in the JVM; only other texts go through Python."""
+    """Array of words. Plain ASCII stays in the JVM; only other texts go through Python, in a function
+    marked non-deterministic so that no filter on its result runs it a second time."""
     plain = ~text.rlike(r"[^\x00-\x7F]")
     ascii_words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"<[^<>]{0,200}>", "")), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.when(plain, ascii_words).otherwise(_odd_words(F.when(~plain, text)))
+    return F.when(plain, ascii_words).otherwise(_odd_words.asNondeterministic()(F.when(~plain, text)))
 
 
 def held_out(tests: DataFrame) -> DataFrame:
