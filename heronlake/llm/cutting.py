@@ -159,7 +159,8 @@ def cut_items(chunks: DataFrame, limits: DataFrame) -> DataFrame:
     rows = chunks.drop("piece_no", "piece_start", "piece_end", "oversized").withColumns({"_max": largest, "_lap": overlap})
     rows = rows.withColumn("oversized", F.coalesce(F.length("content") > F.col("_max"), F.lit(False)))
     whole = F.array(F.struct(F.lit(0).alias("piece_start"), F.coalesce(F.length("content"), F.lit(0)).alias("piece_end"), F.col("content").alias("piece_text")))
-    pieces = F.when(F.col("oversized"), _pieces(F.when(F.col("oversized"), F.col("content")), "_max", "_lap")).otherwise(whole)
+    # non-deterministic to the optimiser: a filter on the pieces would cut the texts a second time
+    pieces = F.when(F.col("oversized"), _pieces.asNondeterministic()(F.when(F.col("oversized"), F.col("content")), "_max", "_lap")).otherwise(whole)
     cut = rows.withColumn("_pieces", pieces)
     parent = F.coalesce(F.concat(F.lit("p"), "parent_id"), F.concat(F.lit("c"), F.col("chunk_pk").cast("string")))
     cut = cut.withColumns({"_parent": parent, "_block": F.when(F.col("chunk_id").isNull(), F.floor(F.col("chunk_pk") / 4096) - (1 << 60)).otherwise(F.floor(F.col("chunk_id") / 4096)).cast("long"), "_n": F.size("_pieces")})
