@@ -246,9 +246,9 @@ def redact(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
 
 #: Cheap test in the JVM: only texts with one of these can hold personal information.
 GATE = (
-    r"[@＠]|(?iu)[(\[] ?at ?[)\]]|\d(?:[ .\-/() ]{0,2}\d){3}|\d{1,5}[a-z]?,? \p{L}+[ ,]|(?:str\.|straße|strasse|weg|gasse|allee|platz|graben|ufer|damm|chaussee|calle|avda|avenida|plaza|paseo|wohne|anschrift|adresse|address|habite|vivo en)|\bbox\b|postfach|"
+    r"[@＠]|(?i)[(\[] ?at ?[)\]]|\d(?:[ .\-/() ]{0,2}\d){3}|\d{1,5}[a-z]?,? \p{L}+[ ,]|(?:str\.|straße|strasse|weg|gasse|allee|platz|graben|ufer|damm|chaussee|calle|avda|avenida|plaza|paseo|wohne|anschrift|adresse|address|habite|vivo en)|\bbox\b|postfach|"
     r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b|"
-    r"\b(?:my name|i['’]m|i am|this is|ask for|nurse|midwife|signed|sign[ée]|firmado|regards|gru(?:ß|ss)|gr[üÜ](?:ß|ss)e|saludos|cordialement|appelle|llamo|nombre|name ist|hei(?:ß|ss)e|wanted to know|here|dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester|hier|ici|daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|grandmother|grandfather|colleague|neighbour|friend|tochter|sohn|fille|femme|mari|hija|hijo)\b|зовут"
+    r"\b(?:my name|i['’]m|i am|this is|ask for|nurse|midwife|signed|sign(?:[éÉ]|e)|firmado|regards|gru(?:ß|ss)|gr[üÜ](?:ß|ss)e|saludos|cordialement|appelle|llamo|nombre|name ist|hei(?:ß|ss)e|wanted to know|here|dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester|hier|ici|daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|grandmother|grandfather|colleague|neighbour|friend|tochter|sohn|fille|femme|mari|hija|hijo)\b|зовут"
 )
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("types", T.ArrayType(T.StringType()))])
 
@@ -262,9 +262,10 @@ def given_names(names: DataFrame) -> list[str]:
 
 
 def pii_column(text: Column, given: list[str], key: str) -> Column:
-    """Struct of the redacted text and the array of types found in ``text``.
+    """Struct of the redacted text and the array of types found; null where nothing is found.
 
-    Null text gives a null text and no types. Texts that fail the gate never reach Python.
+    Texts that fail the gate never reach Python. The function is marked non-deterministic so that
+    the optimiser does not run it a second time for a filter on its result.
     """
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     state: dict = {}
@@ -279,9 +280,8 @@ def pii_column(text: Column, given: list[str], key: str) -> Column:
             types.append(sorted({k for _, _, k in spans}))
         return pd.DataFrame({"text": out, "types": types})
 
-    wide = F.length(text) > 0
-    found = find(F.when(wide & (text.rlike(GATE) | (F.array_max(F.transform(F.array(*[F.lit(g) for g in given]), lambda g: F.instr(text, g))) > 0 if given and len(given) <= 200 else F.lit(True if given else False))), text))
-    return F.struct(F.coalesce(found["text"], text).alias("text"), F.coalesce(found["types"], F.array().cast("array<string>")).alias("types"))
+    named = F.lit(bool(given)) if len(given) > 200 else F.array_max(F.transform(F.array(*[F.lit(g) for g in given]), lambda g: F.instr(text, g))) > 0 if given else F.lit(False)
+    return find.asNondeterministic()(F.when((F.length(text) > 0) & (text.rlike(GATE) | named), text))
 
 
 def with_pii(df: DataFrame, text: str, names: DataFrame, key: str = "heronlake") -> DataFrame:
@@ -291,4 +291,4 @@ def with_pii(df: DataFrame, text: str, names: DataFrame, key: str = "heronlake")
     two names that were there before are replaced. ``key`` is the secret of the pseudonyms.
     """
     got = df.drop("redacted", "pii_types").withColumn("_pii", pii_column(F.col(text), given_names(names), key))
-    return got.select("*", F.col("_pii.text").alias("redacted"), F.col("_pii.types").alias("pii_types")).drop("_pii")
+    return got.select("*", F.coalesce("_pii.text", text).alias("redacted"), F.coalesce("_pii.types", F.array().cast("array<string>")).alias("pii_types")).drop("_pii")
