@@ -123,22 +123,29 @@ def near_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", te
     """Proximity matches: (document, item) where at least ``share`` of the terms of a passage stand
     within ``slop`` places of one offset: ``key, test_id, field, matched, share``.
 
-    Of the rarest terms of a passage, more than may be missing are looked up, so one of them stands.
+    Of the rarest terms of a passage, three more than may be missing are looked up, so three of them stand
+    within ``slop`` places of any offset that counts; every offset of which that holds is tried.
     """
     held, index, rarity, near = _prepared(corpus, tests, key, text, words)
+    # in doubles 1 - 0.8 is less than 0.2: the count is taken from the share itself
+    wanted_of = lambda n: F.greatest(F.lit(1), F.ceil(n * share - 1e-9).cast("int"))
     terms = held.select("item", F.size("terms").alias("n"), F.posexplode("terms").alias("tpos", "term"))
     order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "tpos")
-    most = F.floor(F.col("n") * (1 - share)).cast("int") + 2
-    ranked = terms.join(near(rarity), "term", "left").withColumn("r", F.row_number().over(order)).where((F.col("r") <= most) & F.col("df").isNotNull())
-    anchors = cut(ranked.select("item", "term", "tpos"))
-    hits = index.select("doc", F.posexplode("terms").alias("pos", "term")).join(near(anchors), "term").select("doc", "item", "tpos", (F.col("pos") - F.col("tpos")).alias("offset"))
-    # two looked-up terms stand at offsets that differ by twice the slop at most: they share a bucket of
+    terms = terms.withColumn("least", F.least(F.lit(3), wanted_of(F.col("n")))).withColumn("most", F.col("n") - wanted_of(F.col("n")) + F.col("least"))
+    ranked = terms.join(near(rarity), "term", "left").withColumn("r", F.row_number().over(order)).where((F.col("r") <= F.col("most")) & F.col("df").isNotNull())
+    anchors = cut(ranked.select("item", "term", "tpos", "least"))
+    hits = index.select("doc", F.posexplode("terms").alias("pos", "term")).join(near(anchors), "term").select("doc", "item", "least", "tpos", (F.col("pos") - F.col("tpos")).alias("offset"))
+    # hits of one match stand at offsets that differ by twice the slop at most: they share a bucket of
     # that width or stand in neighbouring ones
     width = 2 * slop + 1
-    spread = hits.select("doc", "item", "tpos", "offset", F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) + 1)).alias("bucket"))
-    alike = spread.groupBy("doc", "item", "bucket").agg(F.count_distinct("tpos").alias("c"), F.min("offset").alias("lo"), F.max("offset").alias("hi")).where("c >= 2")
-    tries = alike.select("doc", "item", F.explode(F.sequence("lo", "hi")).alias("offset")).distinct()
-    there = F.filter(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.exists(F.slice("terms", F.greatest(F.lit(1), i + F.col("offset") + 1 - slop), F.greatest(F.lit(0), F.least(F.lit(width), i + F.col("offset") + 1 + slop))), lambda t: t == F.get("wanted", i)))
-    met = tries.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc").select("doc", "item", F.size(there).alias("matched"), F.size("wanted").alias("n"))
-    got = met.where(F.col("matched") >= F.col("n") * share).groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("n").alias("n"))
+    spread = hits.select("doc", "item", "least", F.struct("tpos", "offset").alias("hit"), F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) + 1)).alias("bucket"))
+    alike = spread.groupBy("doc", "item", "bucket").agg(F.collect_set("hit").alias("hits"), F.first("least").alias("least")).where(F.size("hits") >= F.col("least"))
+    stand = lambda o: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: F.abs(h["offset"] - o) <= slop), lambda h: h["tpos"])))
+    around = F.sequence(F.array_min("hits.offset") - slop, F.array_max("hits.offset") + slop)
+    tries = alike.where(F.size(F.array_distinct("hits.tpos")) >= F.col("least")).select("doc", "item", F.explode(F.filter(around, lambda o: stand(o) >= F.col("least"))).alias("offset"))
+    # the offsets of a document are no more than its words and those of the passage
+    tries = tries.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets"))
+    there = lambda o: F.filter(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.exists(F.slice("terms", F.greatest(F.lit(1), i + o + 1 - slop), F.greatest(F.lit(0), F.least(F.lit(width), i + o + 1 + slop))), lambda t: t == F.get("wanted", i)))
+    met = tries.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc").select("doc", "item", F.array_max(F.transform("offsets", lambda o: F.size(there(o)))).alias("matched"), F.size("wanted").alias("n"))
+    got = met.where(F.col("matched") >= wanted_of(F.col("n"))).groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("n").alias("n"))
     return got.join(near(held.select("item", "test_id")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), "matched", F.round(F.col("matched") / F.col("n"), 4).alias("share"))

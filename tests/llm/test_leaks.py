@@ -52,6 +52,46 @@ def test_same_as_brute_force(spark):
     assert whole <= near
 
 
+def brute_near(chunks, tests, slop=3, words=10):
+    """Passages of which four terms in five stand within ``slop`` places of one offset."""
+    out = set()
+    for pk, content, *_ in chunks:
+        c = L.words_of(content)
+        for i, *texts in tests:
+            for w in (L.words_of(t) for t in texts if t):
+                if len(w) >= words and any(5 * sum(x in c[max(0, j + o - slop) : max(0, j + o + slop + 1)] for j, x in enumerate(w)) >= 4 * len(w) for o in range(-len(w), len(c) + 1)):
+                    out.add((pk, i))
+    return out
+
+
+def test_near_with_the_rarest_words_altered(spark):
+    """Passages of 10 to 30 words, a fifth of them replaced: those looked up first, with the rest drifting."""
+    rng = random.Random(9)
+    tests, chunks = [], []
+    for i in range(24):
+        n = (10, 15, 20, 23, 25, 30)[i % 6]
+        w = [f"p{i}x{j}" for j in range(n)]
+        tests.append((f"t{i}", " ".join(w), None))
+        lost = n // 5
+        # all but one of the words looked up are altered, so are all of them, or one word too many is
+        for k, gone in enumerate((range(lost), range(lost + 1), rng.sample(range(n), lost), range(n - lost, n))):
+            part = [f"alt{i}x{j}" if j in set(gone) else x for j, x in enumerate(w)]
+            at = rng.randrange(0, n - 3)
+            if k == 2:
+                part[at:at] = ["and", "so", "on"]
+            chunks.append((10 * i + k, " ".join(["front"] * rng.randrange(6) + part + ["back"] * rng.randrange(4)), None, None, None))
+        # both words that stand among those looked up drift by three places the same way
+        kept = [x if j >= lost else f"alt{i}x{j}" for j, x in enumerate(w)]
+        chunks.append((10 * i + 5, " ".join([*kept[: lost + 2], "a", "b", "c", *kept[lost + 2 :]]), None, None, None))
+        chunks.append((10 * i + 6, " ".join([*kept[:lost], "a", "b", "c", *kept[lost : lost + 2], *kept[lost + 5 :], *kept[lost + 2 : lost + 5]]), None, None, None))
+        # filler in which the last words are common, so that the first ones are looked up
+        chunks.append((10 * i + 7, " ; ".join(w[lost:] * 2), None, None, None))
+    c, t = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(tests, TESTS)
+    got = {(r.chunk_pk, r.test_id) for r in L.near_passages(c, t).collect()}
+    want = brute_near(chunks, tests)
+    assert got == want and len(want) > 60
+
+
 def test_words():
     assert L.words_of("Der ﬁne <i>Über</i>-Test: ２ x­y 3.5 mg") == ["der", "fine", "über", "test", "2", "xy", "3", "5", "mg"]
 
