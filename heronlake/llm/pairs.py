@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.lineage import cut
-from ..plans.neighbours import with_next
+from ..plans.neighbours import carried_on
 from ..plans.skew import heavy_keys, salted_join
 from .common import INVISIBLE, logistic
 
@@ -326,7 +326,8 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS) -> DataFrame:
     kinds = finished.union(endings).groupBy("text").agg(F.max("finished").alias("finished"), (F.max(F.when(~F.col("finished"), F.lit(1)))).alias("open"))
     # responses and units in one sort: "u" units, "r" whole responses
     keyed = kinds.select(F.concat(F.lit("u"), "text").alias("key"), "finished", "open").union(judged.select(F.concat(F.lit("r"), "whole").alias("key"), F.lit(False), F.lit(1)).where("key is not null").distinct())
-    beside = with_next(keyed, "key").where("open = 1").select("key", "finished", F.coalesce(F.startswith("next", "key") & (F.length("next") > F.length("key") + 1), F.lit(False)).alias("carried_on"))
+    # carried on: any other text begins with it and is more than one character longer
+    beside = carried_on(keyed, "key").where("open = 1").select("key", "finished", "carried_on")
     spikes = open_ends.where(F.col("length") <= SPIKE_LENGTHS).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     near = spikes.alias("a").join(spikes.select(F.col("length").alias("l2"), F.col("n").alias("n2")).withColumn("at", F.explode(F.sequence(F.col("l2") - 8, F.col("l2") + 8))).alias("b"), F.col("a.length") == F.col("b.at")).groupBy("a.length", "a.n").agg(((F.sum("n2") - F.col("n")) / 16).alias("around"))
     spikes = near.where((F.col("n") >= 12) & (F.col("n") > 6 * F.col("around"))).select("length", F.lit(True).alias("spike"))

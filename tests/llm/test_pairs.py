@@ -1,6 +1,7 @@
 import pytest
 
 from heronlake.llm import pairs as P
+from heronlake.plans.neighbours import carried_on
 
 Q = "What are the side effects of Brenolin?"
 
@@ -61,6 +62,16 @@ def test_defects_of_a_table(spark):
     assert P.broken_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_carried_on_past_near_neighbours(spark, parts):
+    """An ending whose next neighbours are one character longer, against brute force."""
+    texts = ["In one clinic, 0% repo", "In one clinic, 0% repor", "In one clinic, 0% report", "In one clinic, 0% reported a fever", "a", "ab", "ac", "adé", "b", "bc", "bd", "be", "Ünd", "Ünde", "Ündi", "Ündig", "x y", "x y:", "z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(parts)
+    got = {r.t: r.carried_on for r in carried_on(df, "t").collect()}
+    assert got == {t: any(o.startswith(t) and len(o) > len(t) + 1 for o in texts) for t in texts}
+    assert got["In one clinic, 0% repo"] and got["a"] and not got["b"]
+
+
 def test_held_out_accuracy_of_endings():
     import random
 
