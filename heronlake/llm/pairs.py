@@ -27,6 +27,11 @@ from .common import INVISIBLE, logistic
 DEFECTS = ("empty", "copied", "refusal", "language", "truncated")
 #: Bound on the finished units from which the classifier of endings learns.
 TRAIN_UNITS = 30_000
+#: Share of the questions with unfinished answers (and least number of them) under which one answer without
+#: an end mark recurs before it is taken for a phrase; repeated pairs count once.
+PHRASE_SHARE, PHRASE_LEAST = 0.004, 2
+#: Share of the unfinished texts (and least number of them) that a spike of one length holds.
+SPIKE_SHARE, SPIKE_LEAST = 0.012, 5
 #: Length limits of models are looked for up to this length, which bounds the table of spikes.
 SPIKE_LENGTHS = 100_000
 
@@ -319,7 +324,8 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS) -> DataFrame:
     Null answers count as empty; with a null question only empty, refusing and truncated answers
     can be told. Repeated rows are judged alike. An empty table gives an empty result.
     """
-    judged = cut(pairs.select("src_table", "pair_key", _judge("question", "answer").alias("j")).select("src_table", "pair_key", "j.*"))
+    asked = F.xxhash64(F.lower(F.trim(F.regexp_replace("question", r"\s+", " "))))
+    judged = cut(pairs.select("src_table", "pair_key", asked.alias("asked"), _judge("question", "answer").alias("j")).select("src_table", "pair_key", "asked", "j.*"))
     finished = judged.select(F.explode("units").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n")).select("text", F.lit(True).alias("finished"))
     open_ends = judged.where("ending is not null")
     endings = open_ends.groupBy(F.col("ending").alias("text")).agg(F.lit(False).alias("finished"))
@@ -328,12 +334,16 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS) -> DataFrame:
     keyed = kinds.select(F.concat(F.lit("u"), "text").alias("key"), "finished", "open").union(judged.select(F.concat(F.lit("r"), "whole").alias("key"), F.lit(False), F.lit(1)).where("key is not null").distinct())
     # carried on: any other text begins with it and is more than one character longer
     beside = carried_on(keyed, "key").where("open = 1").select("key", "finished", "carried_on")
-    spikes = open_ends.where(F.col("length") <= SPIKE_LENGTHS).groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    # both counts are of different texts or questions, and relative to the table
+    texts, questions = open_ends.agg(F.count_distinct("whole"), F.count_distinct("asked")).first()
+    spikes = open_ends.where(F.col("length") <= SPIKE_LENGTHS).select("length", "whole").distinct().groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     near = spikes.alias("a").join(spikes.select(F.col("length").alias("l2"), F.col("n").alias("n2")).withColumn("at", F.explode(F.sequence(F.col("l2") - 8, F.col("l2") + 8))).alias("b"), F.col("a.length") == F.col("b.at")).groupBy("a.length", "a.n").agg(((F.sum("n2") - F.col("n")) / 16).alias("around"))
-    spikes = near.where((F.col("n") >= 12) & (F.col("n") > 6 * F.col("around"))).select("length", F.lit(True).alias("spike"))
+    spikes = near.where((F.col("n") >= max(SPIKE_LEAST, SPIKE_SHARE * texts)) & (F.col("n") > 6 * F.col("around"))).select("length", F.lit(True).alias("spike"))
 
     sample = finished.orderBy(F.xxhash64("text")).limit(train_units)
-    phrases = open_ends.where("ending = whole").groupBy("ending").agg(F.count_distinct("pair_key").alias("n")).where("n >= 4").orderBy(F.desc("n"), "ending").limit(2000)
+    shortened = beside.where(F.col("carried_on") & F.startswith("key", F.lit("u"))).select(F.substring("key", 2, 1 << 30).alias("ending"))
+    phrases = open_ends.where("ending = whole").groupBy("ending").agg(F.count_distinct("asked").alias("n")).where(F.col("n") >= max(PHRASE_LEAST, PHRASE_SHARE * questions))
+    phrases = phrases.join(shortened, "ending", "left_anti").orderBy(F.desc("n"), "ending").limit(2000)
     weights = train_endings([r.text for r in sample.select("text").collect()], [r.ending for r in phrases.collect() for _ in range(3)])
     model = pairs.sparkSession.sparkContext.broadcast(weights)  # bounded by train_units
 

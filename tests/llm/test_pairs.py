@@ -72,6 +72,23 @@ def test_carried_on_past_near_neighbours(spark, parts):
     assert got["In one clinic, 0% repo"] and got["a"] and not got["b"]
 
 
+@pytest.mark.parametrize("copies", [3, 60])
+def test_copies_of_a_cut_answer_teach_nothing(spark, monkeypatch, copies):
+    """A cut answer loaded again and again is taught as no phrase, whether a neighbour carries it on or
+    not; a short answer to many questions is."""
+    taught, train = [], P.train_endings
+    monkeypatch.setattr(P, "train_endings", lambda units, phrases: taught.extend(phrases) or train(units, phrases))
+    full = [f"Store Brenolin below {i} °C; discard it {i} weeks after opening." for i in range(1, 40)] + [f"Most adults notice nausea within {i} days of the first dose." for i in range(1, 40)]
+    rows = [("qa_pair", str(i), f"{Q} {i}", f"{full[i]} {full[-i - 1]}") for i in range(len(full))]
+    rows += [("qa_pair", f"known {i}", f"{Q} {i % 4}", "Most adults notice nausea wi") for i in range(copies)]
+    rows += [("qa_pair", f"alone {i}", Q, "Some elderly adults notice nausea wi") for i in range(copies)]
+    rows += [("qa_pair", f"phrase {i}", f"{Q} {i}", "Brenolin twice daily") for i in range(40)]
+    df = spark.createDataFrame(rows, "src_table string, pair_key string, question string, answer string")
+    found = {r.pair_key: r.defect for r in P.broken_pairs(df).collect() if r.defect and not r.pair_key.startswith("alone")}
+    assert set(taught) == {"Brenolin twice daily"}
+    assert found == {f"known {i}": "truncated" for i in range(copies)}
+
+
 def test_held_out_accuracy_of_endings():
     import random
 
