@@ -7,9 +7,9 @@ squared departures from an even size, subject to the largest size and the overla
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,10 @@ from .common import EDGE_SPACE
 PENALTY = {"paragraph": 0.0, "line": 0.3, "sentence": 0.5, "clause": 2.0, "word": 4.0, "inside": 30.0}
 #: Weight of the squared departure from the even size, as a share of the limit.
 IMBALANCE = 3.0
+#: Cost of every further piece.
+JOIN = 1.0
+#: The table of limits is a small one; a larger one is refused, as it is sent to every task.
+MAX_KINDS = 10_000
 _KINDS = (
     ("word", re.compile(r"\s+")),
     ("clause", re.compile(r"[,;:、，；：–—][\"'”’»)]*\s*")),
@@ -40,24 +44,18 @@ def _joined(text: str, i: int) -> bool:
     return bool(unicodedata.combining(c)) or c in "‍️⃣" or before == "‍" or "🏻" <= c <= "🏿" or unicodedata.category(c) in ("Mn", "Me", "Mc") or (before == "\r" and c == "\n") or ("🇦" <= c <= "🇿" and "🇦" <= before <= "🇿")
 
 
-def places(text: str, largest: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut places in rising order with their penalties. Finer places are only added where coarser ones
-    lie further apart than a quarter of the room between two cuts, since they cannot pay elsewhere."""
-    n, room = len(text), max(1, largest - overlap)
+def places(text: str, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """All cut places in rising order with their penalties; inside a stretch without any, one place in
+    every half of ``room`` (moved back where it would part a written sign)."""
+    n = len(text)
     best: dict[int, float] = {}
-    marks = [0, n]
-    for kind, pattern in reversed(_KINDS):
-        ends = {m.end() for m in pattern.finditer(text)} - best.keys()
-        if kind in ("clause", "word"):
-            gaps = [(a, b) for a, b in zip(marks, marks[1:]) if b - a > room // 4]
-            ordered = sorted(ends)
-            ends = {p for a, b in gaps for p in ordered[bisect_right(ordered, a) : bisect_left(ordered, b)]}
-        for p in ends:
-            if 0 < p < n:
-                best[p] = PENALTY[kind]
-        marks = [0, *sorted(best), n]
+    for kind, pattern in _KINDS:  # a later kind is more natural and wins
+        for m in pattern.finditer(text):
+            best[m.end()] = PENALTY[kind]
+    best.pop(0, None)
+    best.pop(n, None)
     step, last = max(1, room // 2), 0
-    for p in marks[1:]:
+    for p in [*sorted(best), n]:
         while p - last > step:
             last += step
             q = last
@@ -70,50 +68,76 @@ def places(text: str, largest: int, overlap: int) -> tuple[np.ndarray, np.ndarra
     return np.array(keys, dtype=np.int64), np.array([best[k] for k in keys])
 
 
+def _best_cuts(ends: np.ndarray, price: np.ndarray, starts: np.ndarray, largest: int, even: float) -> tuple[float, np.ndarray]:
+    """Least cost of cutting at some of ``ends`` (the last one is the end of the text), and for each end
+    the end before it on the best way there (-1: it is the first)."""
+    total = np.full(len(ends), np.inf)
+    back = np.full(len(ends), -1, dtype=np.int64)
+    first = np.searchsorted(starts, ends - largest).tolist()
+    alone = np.where(ends <= largest, price + IMBALANCE * ((ends - even) / largest) ** 2, np.inf)
+    base = (ends - even) / largest
+    begin = starts / largest
+    for i in range(len(ends)):
+        total[i], lo = alone[i], first[i]
+        if lo < i:
+            size = base[i] - begin[lo:i]
+            t = total[lo:i] + IMBALANCE * size * size
+            k = int(t.argmin())
+            c = t[k] + price[i] + JOIN
+            if c < total[i]:
+                total[i], back[i] = c, lo + k
+    return float(total[-1]), back
+
+
 def cut_text(text: str, largest: int, overlap: int) -> list[tuple[int, int]]:
     """Pieces (start, end) of at most ``largest`` code points that cover ``text``; each piece but the
     first starts ``overlap`` code points before the end of the one before it, or as few more as it
     takes not to part a written sign. A text within the limit is one piece.
+
+    The pieces are the cheapest over all places. A first pass over the coarse places gives a
+    bound; a place is left out of the second only if any way through it costs more than that bound.
     """
     n = len(text)
     if largest <= 0:
         raise ValueError("the limit must be positive")
+    if overlap < 0 or overlap >= largest:
+        raise ValueError("the overlap must lie between 0 and the limit")
     if n <= largest:
         return [(0, n)]
-    overlap = max(0, min(overlap, (largest - 1) // 2))
-    at, cost = places(text, largest, overlap)
-    ends = np.append(at, n)
-    price = np.append(cost, 0.0)
-    starts = np.maximum(ends - overlap, 0)
+    at, cost = places(text, largest - overlap)
+    all_ends = np.append(at, n)
+    all_price = np.append(cost, 0.0)
+    all_starts = np.maximum(all_ends - overlap, 0)
     if overlap and not text.isascii():
-        for i, s in enumerate(starts):
+        for i, s in enumerate(all_starts):
             while s > 0 and _joined(text, int(s)):
                 s -= 1
-            starts[i] = s
+            all_starts[i] = s
     count = -(-(n - overlap) // (largest - overlap))
     even = min(largest, (n - overlap) / count + overlap)
-    total = np.full(len(ends), np.inf)
-    back = np.full(len(ends), -1, dtype=np.int64)
-    first = np.searchsorted(starts, ends - largest)
-    for i, e in enumerate(ends):
-        if e <= largest:
-            total[i] = price[i] + IMBALANCE * ((e - even) / largest) ** 2
-        lo = first[i]
-        if lo < i:
-            size = e - starts[lo:i]
-            t = total[lo:i] + price[i] + IMBALANCE * ((size - even) / largest) ** 2 + 1.0
-            k = int(np.argmin(t))
-            if t[k] < total[i]:
-                total[i], back[i] = t[k], lo + k
-    out, i = [], len(ends) - 1
-    if not np.isfinite(total[i]):  # one sign longer than the limit: even cuts
+
+    def run(keep: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+        ends, starts = all_ends[keep], all_starts[keep]
+        total, back = _best_cuts(ends, all_price[keep], starts, largest, even)
+        out, i = [], len(ends) - 1
+        while i >= 0:
+            b = int(back[i])
+            out.append((int(starts[b]) if b >= 0 else 0, int(ends[i])))
+            i = b
+        return total, out[::-1]
+
+    coarse = all_price <= PENALTY["sentence"]
+    bound, out = run(coarse)
+    # every way has count - 1 cuts or more, each of which costs JOIN and the cheapest price at least
+    least = float(cost.min())
+    keep = all_price - least <= bound - (count - 1) * (JOIN + least) + 1e-9
+    keep[-1] = True
+    if (keep & ~coarse).any():
+        bound, out = run(keep | coarse)
+    if not np.isfinite(bound):  # one sign longer than the limit: even cuts
         step = largest - overlap
         return [(s, min(n, s + largest)) for s in range(0, max(1, n - overlap), step)]
-    while i >= 0:
-        b = int(back[i])
-        out.append((int(starts[b]) if b >= 0 else 0, int(ends[i])))
-        i = b
-    return out[::-1]
+    return out
 
 
 PIECES = T.ArrayType(T.StructType([T.StructField("piece_start", T.IntegerType()), T.StructField("piece_end", T.IntegerType()), T.StructField("piece_text", T.StringType())]))
@@ -125,9 +149,17 @@ def _pieces(texts: pd.Series, largest: pd.Series, overlap: pd.Series) -> pd.Seri
 
 
 def limits_of(limits: DataFrame) -> tuple[list[tuple[str, int, int]], tuple[int, int]]:
-    """Kinds with their limits, longest name first, and the default (a table of a few rows)."""
-    rows = limits.where("source_kind is not null and max_chars is not null").limit(10_000).collect()
-    kinds = sorted(((r.source_kind.strip().lower(), int(r.max_chars), int(r.overlap_chars or 0)) for r in rows), key=lambda r: (-len(r[0]), r[0]))
+    """Kinds with their limits, longest name first, and the default. More than ``MAX_KINDS`` rows are
+    refused, and so is an overlap that is not smaller than its limit. Of equal names the smallest
+    limit counts."""
+    rows = limits.where("source_kind is not null and max_chars is not null").limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} limits")
+    for r in rows:
+        if r.max_chars <= 0 or not 0 <= (r.overlap_chars or 0) < r.max_chars:
+            raise ValueError(f"{r.source_kind}: the overlap must lie between 0 and the limit")
+    kinds = sorted(((r.source_kind.strip().lower(), int(r.max_chars), int(r.overlap_chars or 0)) for r in rows), key=lambda r: (-len(r[0]), *r))
+    kinds = [k for i, k in enumerate(kinds) if not i or kinds[i - 1][0] != k[0]]
     default = [r[1:] for r in kinds if r[0] == "default"]
     if not default:
         raise ValueError("no default limit")
@@ -135,14 +167,17 @@ def limits_of(limits: DataFrame) -> tuple[list[tuple[str, int, int]], tuple[int,
 
 
 def limit_columns(source: Column, limits: DataFrame) -> tuple[Column, Column]:
-    """Largest size and overlap for a source: of the kind with which its clean spelling begins."""
+    """Largest size and overlap for a source: of the longest kind with which its clean spelling begins."""
     kinds, (size, lap) = limits_of(limits)
     clean = F.lower(F.regexp_replace(source, EDGE_SPACE, ""))
-    largest, overlap = F.lit(size), F.lit(lap)
-    for name, m, o in reversed(kinds):
-        largest = F.when(clean.startswith(name), F.lit(m)).otherwise(largest)
-        overlap = F.when(clean.startswith(name), F.lit(o)).otherwise(overlap)
-    return largest, overlap
+    if not kinds:
+        return F.lit(size), F.lit(lap)
+    # one look-up for each length of a name
+    as_map = lambda pairs: F.from_json(F.lit(json.dumps(dict(pairs))), "map<string,int>")  # noqa: E731  (folded to one constant)
+    sizes, laps = as_map((name, m) for name, m, _ in kinds), as_map((name, o) for name, _, o in kinds)
+    lengths = sorted({len(name) for name, _, _ in kinds}, reverse=True)
+    of = lambda table, other: F.coalesce(*[F.try_element_at(table, F.substring(clean, 1, n)) for n in lengths], F.lit(other))
+    return of(sizes, size), of(laps, lap)
 
 
 def cut_items(chunks: DataFrame, limits: DataFrame) -> DataFrame:

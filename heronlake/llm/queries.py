@@ -54,7 +54,8 @@ def _cut(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _cut(spark, d).where("oversized").select("chunk_pk").distinct()
+    # a chunk is too long where the operator makes a second piece of it
+    return _cut(spark, d).where("piece_no = 1").select("chunk_pk").distinct()
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
