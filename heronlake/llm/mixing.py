@@ -76,7 +76,7 @@ def plan_totals(supply: dict[str, tuple[int, int]], targets: dict[str, tuple[flo
     """Blocks wanted of each source. ``supply``: (tokens, blocks); ``targets``: (share, most repeats).
 
     Without ``total`` the mix is as large as it can be while the sources that run out before their
-    share is full lack at most ``shortfall`` of the mix together; shares of absent sources are spread
+    share is full lack nothing, or ``shortfall`` of the mix together; shares of absent sources are spread
     over the rest in proportion.
     """
     there = {s: t for s, t in targets.items() if s in supply and t[0] > 0 and t[1] > 0}
@@ -88,7 +88,7 @@ def plan_totals(supply: dict[str, tuple[int, int]], targets: dict[str, tuple[flo
     if total is None:
         sizes = sorted(most[s] / share[s] for s in there)
         blocks = sizes[0]
-        for n in np.geomspace(sizes[0], sizes[-1], 400):
+        for n in () if shortfall <= 0 else np.geomspace(sizes[0], sizes[-1], 400):
             got = sum(min(most[s], share[s] * n) for s in there)
             lack = sum(max(0.0, share[s] - most[s] / got) for s in there if most[s] < share[s] * n)
             if lack > shortfall:
@@ -99,32 +99,60 @@ def plan_totals(supply: dict[str, tuple[int, int]], targets: dict[str, tuple[flo
     return {s: min(most[s], max(1, round(share[s] * blocks))) for s in there}
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
+    """How many of ``draws`` taken without replacement from ``good + bad`` are good.
+
+    By inversion over the terms around the mode: ratios of neighbouring terms give their weights;
+    twelve standard deviations to either side leave out less than a double can hold. Works for
+    any counts below 2**53.
+    """
+    lo, hi = max(0, draws - bad), min(good, draws)
+    if lo == hi:
+        return lo
+    n = good + bad
+    mode = min(hi, max(lo, (draws + 1) * (good + 1) // (n + 2)))
+    sd = math.sqrt(draws * (good / n) * (bad / n) * ((n - draws) / max(1, n - 1)))
+    a, b = max(lo, mode - int(12 * sd) - 40), min(hi, mode + int(12 * sd) + 40)
+    k = np.arange(a, b, dtype=float)  # log of term k+1 over term k
+    step = np.log(good - k) + np.log(draws - k) - np.log(k + 1) - np.log(bad - draws + k + 1)
+    w = np.concatenate([[0.0], np.cumsum(step)])
+    w = np.cumsum(np.exp(w - w[mode - a]))
+    return a + int(min(np.searchsorted(w, rng.random() * w[-1], side="right"), b - a))
+
+
 def draw_counts(wanted: dict[str, int], seed: int) -> list[dict[str, int]]:
     """Blocks of each source in each output shard: draws without replacement, which are multinomial
-    draws given the totals."""
+    draws given the totals. One method at every size: source by source, what is left of one against
+    what is left of those behind it."""
     names = sorted(wanted)
-    left = np.array([wanted[s] for s in names], dtype=np.int64)
-    total = int(left.sum())
+    left = {s: int(wanted[s]) for s in names}
+    total = sum(left.values())
+    if total >= 1 << 53:
+        raise ValueError("more blocks than can be drawn")
     shards = max(1, min(MAX_SHARDS, -(-total // SLOTS_PER_SHARD)))
     rng = np.random.default_rng(seed)
     out = []
     for i in range(shards):
         size = (total * (i + 1)) // shards - (total * i) // shards
-        if int(left.sum()) < 1_000_000_000:
-            got = rng.multivariate_hypergeometric(left, size, method="marginals")
-        else:  # beyond numpy's range: multinomial draw, held to what is left
-            got = np.minimum(rng.multinomial(size, left / left.sum()), left)
-        left = left - got
-        out.append({s: int(g) for s, g in zip(names, got) if g})
+        rest, got = sum(left.values()), {}
+        for s in names:
+            rest -= left[s]
+            n = hypergeometric(rng, left[s], rest, size)
+            left[s] -= n
+            size -= n
+            if n:
+                got[s] = n
+        out.append(got)
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, total_tokens: int | None = None, block: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text", seed: int = 1, shortfall: float = 0.02) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, total_tokens: int | None = None, block: int = BLOCK_TOKENS, key: str = "doc_id", text: str = "text", seed: int = 1, shortfall: float = 0.0) -> DataFrame:
     """The mix: ``shard, slot, source, block, repeat, key, token_start, token_end, at``.
 
     A slot is one block; the rows of a slot in order of ``at`` are its tokens. No block, and so no
     record, is used more than ``max_repeats`` times. Null and empty texts have no tokens. With no
-    wanted source in the table the mix is empty.
+    wanted source in the table the mix is empty. By default the mix is the largest that gives every
+    source that is there its share exactly (to a block); ``shortfall`` buys a larger one.
     """
     segments = cut(source_blocks(documents, targets, path, block, key, text, seed))
     sums = segments.groupBy("source").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("tokens"), (F.max("block") + 1).alias("blocks"))
@@ -143,7 +171,9 @@ def mix(documents: DataFrame, targets: DataFrame, path: str | None = None, total
     def image(index: pd.Series, size: pd.Series, salt: pd.Series) -> pd.Series:
         return pd.Series(permuted(index.to_numpy(), size.to_numpy(), salt.to_numpy()))
 
-    slots = plan.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).select("shard", "source", "blocks", "salt", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    slots = plan.repartition(max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))).select("shard", "source", "blocks", "salt", F.col("first") + F.col("n") - 1, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1, F.lit(SLOTS_PER_SHARD))).alias("run")).toDF("shard", "source", "blocks", "salt", "last", "run")
+    # in runs, so that no row holds a long array
+    slots = slots.select("shard", "source", "blocks", "salt", F.explode(F.sequence("run", F.least("last", F.col("run") + (SLOTS_PER_SHARD - 1)))).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("long")
     slots = slots.select("shard", "source", "slot", turn.cast("int").alias("repeat"), image(F.col("slot") % F.col("blocks"), "blocks", F.col("salt") + turn * 7919).alias("block"))
     return slots.join(segments, ["source", "block"]).select("shard", "slot", "source", "block", "repeat", key, "token_start", "token_end", "at")

@@ -24,8 +24,8 @@ def test_packing_is_whole_and_fits(sizes):
 
 def test_two_for_one():
     # greedy would take 6 and then 3 (gap 1); two items of 2 fill the container instead
-    boxes = P.best_two_fit([6, 3, 2, 2], 10)
-    assert sorted(map(sorted, [[6, 2, 2]])) == sorted(sorted([[6, 3, 2, 2][i] for i in b]) for b in boxes if len(b) == 3) or sum([6, 3, 2, 2]) - 10 == 3
+    sizes = [6, 3, 2, 2]
+    assert [sorted(sizes[i] for i in b) for b in P.best_two_fit(sizes, 10)] == [[2, 2, 6], [3]]
 
 
 def docs(spark):
@@ -68,6 +68,32 @@ def test_draws_keep_totals():
     assert len(got) > 2 and {s: sum(g.get(s, 0) for g in got) for s in wanted} == wanted
 
 
+@pytest.mark.parametrize("size", [3, 1_000, 2_000_000_000])
+def test_draws_of_any_size_are_whole(size):
+    wanted = {"a": 5 * size, "b": size, "c": 7, "d": 0}
+    got = M.draw_counts(wanted, 8)
+    assert {s: sum(g.get(s, 0) for g in got) for s in wanted} == wanted
+    sizes = [sum(g.values()) for g in got]
+    assert max(sizes) - min(sizes) <= 1
+    if size > 10**6:
+        first = [g["b"] / sum(g.values()) for g in got]
+        assert max(abs(x - 1 / 6) for x in first) < 0.01 and len(set(first)) > len(first) / 2
+
+
+def test_draws_are_hypergeometric():
+    rng = np.random.default_rng(5)
+    got = np.bincount([M.hypergeometric(rng, 12, 20, 9) for _ in range(40_000)], minlength=10) / 40_000
+    from math import comb
+
+    assert np.abs(got - [comb(12, k) * comb(20, 9 - k) / comb(32, 9) for k in range(10)]).max() < 0.01
+
+
+def test_shares_are_exact_by_default():
+    supply = {"a": (25_600, 100), "b": (25_600, 100), "c": (2_560_000, 10_000)}
+    got = M.plan_totals(supply, {"a": (0.16, 1), "b": (0.04, 2), "c": (0.8, 1)}, None, 256, 0.0)
+    assert got == {"a": 100, "b": 25, "c": 500}
+
+
 def test_mix_table(spark):
     d = docs(spark)
     goal = spark.createDataFrame([("Big", 0.5, 1), ("Small", 0.4, 3), ("Absent", 0.1, 2), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
