@@ -1,27 +1,41 @@
 """Evaluation texts leaking into training text.
 
-A positional index holds the terms of every document by position; its posting lists give (term, document,
-position). A held-out passage is looked up by the rarest term of each of its windows, so that every
-window of ``words`` consecutive words holds a term that is looked up; a hit fixes the offset between
-document and passage, and the positions of all other terms of the passage are intersected on that offset. Runs of consecutive positions give the exact
-phrases, the share of terms found on the offset gives proximity matches.
+A positional inverted index is built over the corpus and stored as a table: for every block of
+documents and every term one posting list, the places of the term in the block, delta-coded.
+Blocks are what one task reads in a row, so building needs no shuffle, and a term that is in every
+document has a list in every block and no long one anywhere. A held-out passage is looked up by
+the rarest term of each of its windows, so that every window of ``words`` consecutive words holds a
+term that is looked up; the lists of its other terms, moved by their offsets, are intersected
+with what the rarest ones leave. Rarity is that within the block, which its list lengths tell. Runs of consecutive places give the exact phrases, the share of
+terms found near an offset gives proximity matches.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, ensure_checkpoint_dir
 
-#: Held-out terms up to this number are sent to all tasks; more are joined by a shuffle.
-BROADCAST_TERMS = 500_000
-_TAG = re.compile(r"<[^<>]{0,200}>")
+#: Words after which a block is closed.
+BLOCK_WORDS = 1 << 18
+#: Empty places between two documents of a block; bounds the slop of a proximity match.
+GAP = 64
+#: Held-out terms that are sent to all tasks at a time (eight bytes each); more are looked up in turns.
+PASSAGE_TERMS = 500_000
+#: Places of looked-up terms that are tried together.
+CANDIDATES = 1 << 20
+_TAG = re.compile(r"<[A-Za-z/!?][^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,110 +56,324 @@ def tokens(text: Column) -> Column:
     """Array of words. Plain ASCII stays in the JVM; only other texts go through Python, in a function
     marked non-deterministic so that no filter on its result runs it a second time."""
     plain = ~text.rlike(r"[^\x00-\x7F]")
-    ascii_words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"<[^<>]{0,200}>", "")), F.lit("([a-z0-9]+)"), F.lit(1))
+    ascii_words = F.regexp_extract_all(F.lower(F.regexp_replace(text, r"<[A-Za-z/!?][^<>]*>", "")), F.lit("([a-z0-9]+)"), F.lit(1))
     return F.when(plain, ascii_words).otherwise(_odd_words.asNondeterministic()(F.when(~plain, text)))
 
 
 def held_out(tests: DataFrame) -> DataFrame:
-    """Passages of the held-out items, ``item`` (a number), ``test_id`` and ``terms``; query and
-    reference answer each taken alone, equal passages of different items kept apart."""
+    """Passages of the held-out items: ``test_id``, ``field`` (q or a) and ``terms`` as 64-bit hashes;
+    query and reference answer each taken alone, equal passages of different items kept apart."""
     each = tests.select(F.col("id").alias("test_id"), F.explode(F.array(F.struct(F.lit("q").alias("field"), F.col("query").alias("t")), F.struct(F.lit("a").alias("field"), F.col("reference_answer").alias("t")))).alias("p")).where("p.t is not null and test_id is not null")
-    return each.select("test_id", F.concat_ws("|", "p.field", "test_id").alias("item"), tokens(F.col("p.t")).alias("terms")).where(F.size("terms") > 0)
+    return each.select("test_id", "p.field", tokens(F.col("p.t")).alias("w")).select("test_id", "field", F.transform("w", lambda t: F.xxhash64(t)).alias("terms")).distinct()
 
 
-def positions(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """The stored index: ``doc`` and its words in order as 64-bit hashes (``terms``). Posting lists
-    are read from it with ``postings``; as stored it takes eight bytes a word."""
+# ---- the index -----------------------------------------------------------------------------
+
+
+def packed(deltas: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative numbers in seven bits a byte, the high bit set on all but the last byte of each:
+    the bytes, and how many each number takes."""
+    d = deltas.astype(np.uint64)
+    size = np.ones(len(d), dtype=np.int64)
+    for k in range(1, 9):
+        size += d >= np.uint64(1 << (7 * k))
+    end = np.cumsum(size)
+    out = np.zeros(int(end[-1]) if len(d) else 0, dtype=np.uint8)
+    start = end - size
+    for k in range(int(size.max()) if len(d) else 0):
+        has = size > k
+        part = (d[has] >> np.uint64(7 * k)) & np.uint64(127)
+        out[start[has] + k] = part.astype(np.uint8) | ((size[has] > k + 1) * 128).astype(np.uint8)
+    return out, size
+
+
+def unpacked(raw: bytes, n: np.ndarray) -> np.ndarray:
+    """Places of posting lists of lengths ``n``, one behind the other: the inverse of ``packed`` and of
+    taking differences within each list."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    if not len(b):
+        return np.zeros(0, dtype=np.int64)
+    last = np.flatnonzero(b < 128)
+    start = np.concatenate([[0], last[:-1] + 1])
+    shift = (np.arange(len(b)) - np.repeat(start, last - start + 1)) * 7
+    upto = np.cumsum(np.add.reduceat((b & 127).astype(np.int64) << shift, start))
+    return upto - np.repeat(np.append(0, upto)[np.cumsum(n) - n], n)
+
+
+def _block_rows(block: int, keys: list[pa.Array], terms: list[np.ndarray], sizes: list[np.ndarray], key_type: pa.DataType) -> pa.RecordBatch:
+    """One block as rows ``block, term, n, places, docs``: a row without a term that holds the documents
+    and where each begins, and a row for every term."""
+    words, size = np.concatenate(terms), np.concatenate(sizes)
+    docs = pa.concat_arrays(keys)
+    begin = np.cumsum(size + GAP) - size  # a gap before the first document too
+    place = np.arange(len(words)) + np.repeat(begin - (np.cumsum(size) - size), size)
+    order = np.argsort(words, kind="stable")
+    words, place = words[order], place[order]
+    new = np.concatenate([[True], words[1:] != words[:-1]]) if len(words) else np.zeros(0, dtype=bool)
+    first = np.flatnonzero(new)
+    step = np.diff(place, prepend=0)
+    step[first] = place[first]
+    raw, width = packed(np.concatenate([np.diff(begin, prepend=0), step]))
+    n = np.concatenate([[len(begin)], np.diff(np.append(first, len(words)))])
+    edges = np.concatenate([[0], np.cumsum(width)])[np.concatenate([[0], len(begin) + first, [len(begin) + len(words)]])]
+    rows = len(n)
+    lists = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+    term = pa.array(np.concatenate([[0], words[first]]).astype(np.int64), mask=np.arange(rows) == 0)
+    held = pa.ListArray.from_arrays(pa.array([0] + [len(docs)] * rows, pa.int32()), docs)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, block)), term, pa.array(n.astype(np.int64)), lists, held.cast(pa.list_(key_type))], names=["block", "term", "n", "places", "docs"])
+
+
+def build_index(corpus: DataFrame, key: str, text: str, path: str | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """Writes the index as a table to ``path`` (by default a new folder under the shared checkpoint
+    folder) and reads it back: ``block, term, n, places, docs``.
+
+    Rows with a null key or text, or without a word, are not in it; repeated rows each are.
+    """
+    spark = corpus.sparkSession
+    path = path or f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     found = corpus.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("doc"), tokens(F.col(text)).alias("w"))
-    return found.select("doc", F.transform("w", lambda t: F.xxhash64(t)).alias("terms")).where(F.size("terms") > 0)
+    hashed = found.select("doc", F.transform("w", lambda t: F.xxhash64(t)).alias("terms")).where(F.size("terms") > 0)
+    kind = hashed.schema["doc"].dataType
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = TaskContext.get().partitionId() << 32, ([], [], [])
+        for batch in batches:
+            docs, lists = batch.column(0), batch.column(1)
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            upto = np.cumsum(size)
+            at = 0
+            while at < len(docs):  # as many documents as fill the block, one at least
+                room = block_words - sum(map(len, held[1]))
+                before = upto[at - 1] if at else 0
+                to = max(at + 1, int(np.searchsorted(upto, before + room, side="right")))
+                for part, value in zip(held, (docs.slice(at, to - at), flat[before : upto[to - 1]], size[at:to])):
+                    part.append(value)
+                at = to
+                if sum(map(len, held[1])) >= block_words or at < len(docs):
+                    yield _block_rows(number, *held, docs.type)
+                    number, held = number + 1, ([], [], [])
+        if held[0]:
+            yield _block_rows(number, *held, held[0][0].type)
+
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("term", T.LongType()), T.StructField("n", T.LongType()), T.StructField("places", T.BinaryType()), T.StructField("docs", T.ArrayType(kind))])
+    hashed.mapInArrow(blocks, schema).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+# ---- look-up -------------------------------------------------------------------------------
+
+
+class Block:
+    """The posting lists of one block that a look-up needs, as one sorted array of (term, place)."""
+
+    def __init__(self, terms: np.ndarray, n: np.ndarray, raw: list[bytes], begins: bytes, docs: list):
+        order = np.argsort(terms)
+        self.terms, self.n = terms[order], n[order]
+        self.first = np.cumsum(self.n) - self.n
+        self.place = unpacked(b"".join([raw[i] for i in order]), self.n)
+        self.begin = unpacked(begins, np.array([len(docs)]))
+        self.docs = docs
+        self.span = int(max(self.place.max(initial=0), self.begin[-1])) + GAP
+        self.key = np.repeat(np.arange(len(terms)), self.n) * self.span + self.place
+
+    def rank(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each term's list and its length (0 where the block lacks the term)."""
+        if not len(self.terms):
+            return np.zeros(len(terms), dtype=np.int64), np.zeros(len(terms), dtype=np.int64)
+        r = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return r, np.where(self.terms[r] == terms, self.n[r], 0)
+
+    def within(self, rank: np.ndarray | int, there: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether a list (which must be ``there``) has a place from ``lo`` to ``hi``; both lie in the block."""
+        i = np.minimum(np.searchsorted(self.key, rank * self.span + lo), len(self.key) - 1)
+        return there & (lo <= hi) & (self.key[i] >= rank * self.span + lo) & (self.key[i] <= rank * self.span + hi)
+
+    def bounds(self, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place of a document and the last that can be its own."""
+        return self.begin[doc], np.append(self.begin[1:], self.span + GAP)[doc] - GAP - 1
+
+    def doc_of(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begin, place, side="right") - 1
+
+
+class Passages:
+    """Held-out passages laid one behind the other."""
+
+    def __init__(self, terms: list[np.ndarray]):
+        self.n = np.array([len(t) for t in terms], dtype=np.int64)
+        self.flat = np.concatenate(terms)
+        self.begin = np.cumsum(self.n) - self.n
+        self.owner = np.repeat(np.arange(len(terms)), self.n)
+
+
+def _ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place in the row, for rows of lengths ``n``."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def postings(index: DataFrame) -> DataFrame:
-    """``doc, pos, term`` and the two terms on either side (null beyond the ends)."""
-    at = index.select("doc", "terms", F.posexplode("terms").alias("pos", "term"))
-    beside = {f"a{i}": F.get("terms", F.col("pos") + i) for i in (1, 2)} | {f"b{i}": F.get("terms", F.col("pos") - i) for i in (1, 2)}
-    return at.select("doc", "pos", "term", *(c.alias(n) for n, c in beside.items()))
+def phrases(block: Block, held: Passages, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Passage, document, longest run and matched terms, for each offset with a run of ``words``."""
+    rank, count = block.rank(held.flat)
+    if len(count) < words:
+        return
+    # the rarest term of each window; one that the block lacks rules its windows out
+    windows = np.lib.stride_tricks.sliding_window_view(count, words)
+    best = windows.argmin(axis=1)
+    whole = held.owner[: len(best)] == held.owner[words - 1 :]
+    anchors = np.unique((np.arange(len(best)) + best)[whole & (windows.min(axis=1) > 0)])
+    # as many of them at a time as have CANDIDATES places
+    upto = np.cumsum(count[anchors])
+    for part in np.split(anchors, np.flatnonzero(np.diff(upto // CANDIDATES)) + 1):
+        row, i = _ragged(count[part])
+        at = part[row]
+        place = block.place[block.first[rank[at]] + i]
+        doc = block.doc_of(place)
+        lo, hi = block.bounds(doc)
 
+        def stands(step: int, at=at, place=place, lo=lo, hi=hi) -> np.ndarray:
+            j = np.clip(at + step, 0, len(held.flat) - 1)
+            p = place + step
+            inside = (held.owner[j] == held.owner[at]) & (j == at + step) & (p >= lo) & (p <= hi)
+            return block.within(rank[j], inside & (count[j] > 0), p, p)
 
-def _prepared(corpus: DataFrame, tests: DataFrame, key: str, text: str, words: int):
-    """Passages with hashed terms, the stored index, how often each held-out term occurs in the corpus,
-    and what brings a small side to all tasks."""
-    held = cut(held_out(tests).where(F.size("terms") >= words).select("test_id", "item", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms")))
-    index = cut(positions(corpus, key, text))
-    vocabulary = held.select(F.explode("terms").alias("term")).distinct()
-    near = F.broadcast if vocabulary.count() <= BROADCAST_TERMS else (lambda d: d)
-    rarity = index.select(F.explode("terms").alias("term")).join(near(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return held, index, rarity, near
+        # a run of five or more around the looked-up term has two more terms on one side at least
+        keep = stands(1)
+        keep[keep] = stands(2)[keep]
+        left = np.flatnonzero(~keep)
+        keep[left] = (stands(-1) & stands(-2))[left]
+        at, place, doc = at[keep], place[keep], doc[keep]
+        own = held.owner[at]
+        tries = np.unique(np.stack([own, place - (at - held.begin[own]), doc], axis=1), axis=0)
+        if not len(tries):
+            continue
+        own, offset, doc = tries.T
+        lo, hi = block.bounds(doc)
+        row, j = _ragged(held.n[own])
+        p, term = offset[row] + j, held.begin[own][row] + j
+        inside = (p >= lo[row]) & (p <= hi[row])
+        hit = block.within(rank[term], inside & (count[term] > 0), p, p)
+        head = np.cumsum(held.n[own]) - held.n[own]
+        number = np.arange(len(hit))
+        missed = np.maximum.accumulate(np.where(hit, head[row] - 1, number))
+        run = np.maximum.reduceat(number - missed, head)
+        matched = np.add.reduceat(hit.astype(np.int64), head)
+        good = run >= words
+        yield own[good], doc[good], run[good], matched[good]
 
 
-def leaked_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10) -> DataFrame:
+def proximity(block: Block, held: Passages, slop: int, share: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """Passage, document and matched terms, for each offset near which ``share`` of the terms stand.
+
+    Of the rarest terms three more than may be missing are looked up, so three of them stand within
+    ``slop`` places of any offset that counts; every offset of which that holds is tried.
+    """
+    rank, count = block.rank(held.flat)
+    need = np.maximum(1, np.ceil(held.n * share - 1e-9)).astype(np.int64)
+    around = np.arange(-slop, slop + 1)
+    for own in np.flatnonzero(np.add.reduceat((count > 0).astype(np.int64), held.begin) >= need):
+        n, begin = int(held.n[own]), int(held.begin[own])
+        r, c = rank[begin : begin + n], count[begin : begin + n]
+        least = min(3, int(need[own]))
+        rare = [j for j in np.argsort(c, kind="stable")[: n - need[own] + least] if c[j]]
+        # an offset of the last place and one of the first are never the same number
+        near = [np.unique((block.doc_of(p) * (2 * block.span) + block.span // 2 + (p - j))[:, None] + around) for j in rare for p in [block.place[block.first[r[j]] : block.first[r[j]] + c[j]]]]
+        if len(near) < least:
+            continue
+        packed_offset, times = np.unique(np.concatenate(near), return_counts=True)
+        packed_offset = packed_offset[times >= least]
+        doc = packed_offset // (2 * block.span)
+        offset = packed_offset - doc * (2 * block.span) - block.span // 2
+        lo, hi = block.bounds(doc)
+        matched = np.zeros(len(doc), dtype=np.int64)
+        for j in range(n):
+            if c[j]:
+                matched += block.within(int(r[j]), np.ones(len(doc), dtype=bool), np.maximum(offset + j - slop, lo), np.minimum(offset + j + slop, hi))
+        good = matched >= need[own]
+        yield np.full(good.sum(), own), doc[good], matched[good]
+
+
+def _matcher(sent: Broadcast, search: Callable, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """One block's lists against the passages that were sent."""
+
+    def match(pdf: pd.DataFrame) -> pd.DataFrame:
+        named, head = pdf[~pdf["head"]], pdf[pdf["head"]].iloc[0]
+        block = Block(named.term.to_numpy(), named.n.to_numpy(), named.places.tolist(), head.places, head.docs)
+        items, passages = sent.value
+        found = []
+        for own, doc, *values in search(block, passages) if len(named) else ():
+            found.append(pd.DataFrame(dict(zip(names, ([block.docs[i] for i in doc], [items[i][0] for i in own], [items[i][1] for i in own], *values)))))
+        return pd.concat(found) if found else pd.DataFrame({n: [] for n in names})
+
+    return match
+
+
+def _look_up(index: DataFrame, held: DataFrame, search: Callable, out: str, key: str) -> DataFrame:
+    """Runs ``search(block, passages)`` for all passages against every block that has lists of their terms.
+
+    Passages are sent to all tasks, ``PASSAGE_TERMS`` terms at a time (counted before); the
+    rest of them have their turn after that, each turn reading only the lists of its own terms.
+    Lists meet by block, so nothing grows with the corpus but the number of groups.
+    """
+    spark = index.sparkSession
+    held = cut(held)
+    turns = -(-(held.agg(F.sum(F.size("terms"))).first()[0] or 0) // PASSAGE_TERMS)
+    kind = index.schema["docs"].dataType.elementType.simpleString()
+    names = [key, "test_id", "field", *(c.split()[0] for c in out.split(", "))]
+    schema = f"{key} {kind}, test_id {held.schema['test_id'].dataType.simpleString()}, field string, {out}"
+    whole = spark.createDataFrame([], schema)
+    for turn in range(turns):
+        mine = held.where(F.pmod(F.xxhash64("test_id", "field", "terms"), F.lit(turns)) == turn)
+        rows = mine.collect()  # about PASSAGE_TERMS terms
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast(([(r.test_id, r.field) for r in rows], Passages([np.array(r.terms, dtype=np.int64) for r in rows])))
+        wanted = F.broadcast(mine.select(F.explode("terms").alias("term")).distinct())
+
+        lists = index.where("term is not null").join(wanted, "term", "left_semi").select("block", "term", "n", "places", F.lit(None).cast(index.schema["docs"].dataType).alias("docs"), F.lit(False).alias("head"))
+        heads = index.where("term is null").select("block", F.lit(0), "n", "places", "docs", F.lit(True))
+        whole = whole.unionAll(lists.unionAll(heads).groupBy("block").applyInPandas(_matcher(sent, search, names), schema))
+    return whole
+
+
+def _checked(tests: DataFrame, words: int) -> DataFrame:
+    if words < 5:
+        raise ValueError("runs of at least five words")
+    return held_out(tests).where(F.size("terms") >= words)
+
+
+def leaked_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Every (document, item) in which at least ``words`` consecutive words of the item's query or
     reference answer stand: ``key, test_id, field, run`` (longest run), ``matched`` (terms found on
     that offset) and ``share`` of the passage's terms.
 
     Passages with fewer words cannot be given away and yield nothing; null texts hold nothing;
-    repeated documents each yield their rows. ``words`` is at least 5.
+    repeated documents yield one row for a key. ``words`` is at least 5. ``index`` is one that
+    ``build_index`` made of the corpus before; by default it is made now.
     """
-    if words < 5:
-        raise ValueError("runs of at least five words")
-    held, index, rarity, near = _prepared(corpus, tests, key, text, words)
-    terms = held.select("item", F.posexplode("terms").alias("tpos", "term"), F.col("terms").alias("all"))
-    terms = terms.select("item", "tpos", "term", *(F.get("all", F.col("tpos") + i).alias(f"ta{i}") for i in (1, 2)), *(F.get("all", F.col("tpos") - i).alias(f"tb{i}") for i in (1, 2)))
-    # the rarest term of each window; a term that the corpus lacks rules its windows out
-    ranked = terms.join(near(rarity), "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    window = Window.partitionBy("item").orderBy("tpos").rowsBetween(0, words - 1)
-    best = (
-        ranked.withColumns({"best": F.min(F.struct("df", "tpos")).over(window), "width": F.count(F.lit(1)).over(window)})
-        .where((F.col("width") == words) & (F.col("best.df") > 0)).select("item", F.col("best.tpos").alias("tpos")).distinct()
-    )
-    anchors = cut(terms.join(near(best), ["item", "tpos"]))
-    # a run of five or more around the looked-up term has two more terms on one side of it at least
-    after = (F.col("a1") == F.col("ta1")) & (F.col("a2") == F.col("ta2"))
-    before = (F.col("b1") == F.col("tb1")) & (F.col("b2") == F.col("tb2"))
-    offsets = cut(postings(index).join(near(anchors), "term").where(after | before).select("doc", "item", (F.col("pos") - F.col("tpos")).alias("offset")).distinct())
-    # offset-adjusted intersection of all other terms
-    met = (
-        offsets.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc")
-        .select("doc", "item", "offset", F.filter(F.sequence(F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("wanted"), F.size("terms") - F.col("offset")) - 1), lambda i: F.get("wanted", i) == F.get("terms", i + F.col("offset"))).alias("hit"), F.size("wanted").alias("n"))
-    )
-    # runs of consecutive positions: a hit starts one where its predecessor is no hit
-    run = F.aggregate(
-        "hit", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("best")),
-        lambda s, i: F.struct(i.alias("last"), F.when(i == s["last"] + 1, s["now"] + 1).otherwise(F.lit(1)).alias("now"), F.greatest(s["best"], F.when(i == s["last"] + 1, s["now"] + 1).otherwise(F.lit(1))).alias("best")),
-        lambda s: s["best"],
-    )
-    found = met.select("doc", "item", "n", run.alias("run"), F.size("hit").alias("matched")).where(F.col("run") >= words)
-    out = found.groupBy("doc", "item", "n").agg(F.max(F.struct("run", "matched")).alias("b"))
-    return out.join(near(held.select("item", "test_id")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), F.col("b.run").alias("run"), F.col("b.matched").alias("matched"), F.round(F.col("b.matched") / F.col("n"), 4).alias("share"))
-
-
-def near_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10, slop: int = 3, share: float = 0.8) -> DataFrame:
+    held = _checked(tests, words)
+    index = build_index(corpus, key, text) if index is None else index
+
+    found = _look_up(index, held, lambda block, passages: phrases(block, passages, words), "run long, matched long", key)
+    best = found.groupBy(key, "test_id", "field").agg(F.max(F.struct("run", "matched")).alias("b"))
+    return _with_share(best.select(key, "test_id", "field", F.col("b.run").alias("run"), F.col("b.matched").alias("matched")), held)
+
+
+def _with_share(found: DataFrame, held: DataFrame) -> DataFrame:
+    """``share``: matched terms over those of the passage, the shortest where a field has more than one."""
+    sizes = held.groupBy("test_id", "field").agg(F.min(F.size("terms")).alias("_n"))
+    return found.join(sizes, ["test_id", "field"]).withColumn("share", F.round(F.least(F.lit(1.0), F.col("matched") / F.col("_n")), 4)).select(*found.columns, "share")
+
+
+def near_passages(corpus: DataFrame, tests: DataFrame, key: str = "chunk_pk", text: str = "content", words: int = 10, slop: int = 3, share: float = 0.8, index: DataFrame | None = None) -> DataFrame:
     """Proximity matches: (document, item) where at least ``share`` of the terms of a passage stand
-    within ``slop`` places of one offset: ``key, test_id, field, matched, share``.
+    within ``slop`` places of one offset: ``key, test_id, field, matched, share``. Nulls, copies
+    and ``index`` as in ``leaked_passages``."""
+    if not 0 <= 2 * slop < GAP:
+        raise ValueError(f"slop must lie below {GAP // 2}")
+    held = _checked(tests, words)
+    index = build_index(corpus, key, text) if index is None else index
 
-    Of the rarest terms of a passage, three more than may be missing are looked up, so three of them stand
-    within ``slop`` places of any offset that counts; every offset of which that holds is tried.
-    """
-    held, index, rarity, near = _prepared(corpus, tests, key, text, words)
-    # in doubles 1 - 0.8 is less than 0.2: the count is taken from the share itself
-    wanted_of = lambda n: F.greatest(F.lit(1), F.ceil(n * share - 1e-9).cast("int"))
-    terms = held.select("item", F.size("terms").alias("n"), F.posexplode("terms").alias("tpos", "term"))
-    order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "tpos")
-    terms = terms.withColumn("least", F.least(F.lit(3), wanted_of(F.col("n")))).withColumn("most", F.col("n") - wanted_of(F.col("n")) + F.col("least"))
-    ranked = terms.join(near(rarity), "term", "left").withColumn("r", F.row_number().over(order)).where((F.col("r") <= F.col("most")) & F.col("df").isNotNull())
-    anchors = cut(ranked.select("item", "term", "tpos", "least"))
-    hits = index.select("doc", F.posexplode("terms").alias("pos", "term")).join(near(anchors), "term").select("doc", "item", "least", "tpos", (F.col("pos") - F.col("tpos")).alias("offset"))
-    # hits of one match stand at offsets that differ by twice the slop at most: they share a bucket of
-    # that width or stand in neighbouring ones
-    width = 2 * slop + 1
-    spread = hits.select("doc", "item", "least", F.struct("tpos", "offset").alias("hit"), F.explode(F.array(F.floor(F.col("offset") / width), F.floor(F.col("offset") / width) + 1)).alias("bucket"))
-    alike = spread.groupBy("doc", "item", "bucket").agg(F.collect_set("hit").alias("hits"), F.first("least").alias("least")).where(F.size("hits") >= F.col("least"))
-    stand = lambda o: F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: F.abs(h["offset"] - o) <= slop), lambda h: h["tpos"])))
-    around = F.sequence(F.array_min("hits.offset") - slop, F.array_max("hits.offset") + slop)
-    tries = alike.where(F.size(F.array_distinct("hits.tpos")) >= F.col("least")).select("doc", "item", F.explode(F.filter(around, lambda o: stand(o) >= F.col("least"))).alias("offset"))
-    # the offsets of a document are no more than its words and those of the passage
-    tries = tries.groupBy("doc", "item").agg(F.collect_set("offset").alias("offsets"))
-    there = lambda o: F.filter(F.sequence(F.lit(0), F.size("wanted") - 1), lambda i: F.exists(F.slice("terms", F.greatest(F.lit(1), i + o + 1 - slop), F.greatest(F.lit(0), F.least(F.lit(width), i + o + 1 + slop))), lambda t: t == F.get("wanted", i)))
-    met = tries.join(near(held.select("item", F.col("terms").alias("wanted"))), "item").join(index, "doc").select("doc", "item", F.array_max(F.transform("offsets", lambda o: F.size(there(o)))).alias("matched"), F.size("wanted").alias("n"))
-    got = met.where(F.col("matched") >= wanted_of(F.col("n"))).groupBy("doc", "item").agg(F.max("matched").alias("matched"), F.max("n").alias("n"))
-    return got.join(near(held.select("item", "test_id")), "item").select(F.col("doc").alias(key), "test_id", F.substring("item", 1, 1).alias("field"), "matched", F.round(F.col("matched") / F.col("n"), 4).alias("share"))
+    found = _look_up(index, held, lambda block, passages: proximity(block, passages, slop, share), "matched long", key)
+    return _with_share(found.groupBy(key, "test_id", "field").agg(F.max("matched").alias("matched")), held)

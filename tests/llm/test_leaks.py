@@ -92,6 +92,51 @@ def test_near_with_the_rarest_words_altered(spark):
     assert got == want and len(want) > 60
 
 
+def test_index_holds_every_place(spark):
+    """Round trip: every document from its posting lists, whatever the size of the blocks."""
+    import numpy as np
+
+    chunks, _ = make()
+    chunks = [*chunks, (904, "one two " * 500, None, None, None)]
+    df = spark.createDataFrame(chunks, CHUNKS)
+    hashed = df.where("content is not null").select("chunk_pk", L.tokens(df.content).alias("w")).selectExpr("chunk_pk", "transform(w, x -> xxhash64(x)) as t").where("size(t) > 0")
+    want = sorted((r.chunk_pk, tuple(r.t)) for r in hashed.collect())
+    for size in (1, 100, L.BLOCK_WORDS):
+        blocks = {}
+        for r in L.build_index(df, "chunk_pk", "content", block_words=size).collect():
+            blocks.setdefault(r.block, []).append(r)
+        got = []
+        for rows in blocks.values():
+            head = next(r for r in rows if r.term is None)
+            places = lambda r: L.unpacked(bytes(r.places), np.array([r.n]))
+            begin = places(head)
+            at = {int(p): r.term for r in rows if r.term is not None for p in places(r)}
+            assert all(len(places(r)) == r.n for r in rows)
+            ends = np.append(begin[1:] - L.GAP, max(at) + 1)
+            got += [(k, tuple(at[p] for p in range(a, b))) for k, a, b in zip(head.docs, begin, ends)]
+        assert sorted(got) == want and (size > 1000 or len(blocks) > 20)
+
+
+def test_packing_numbers():
+    import numpy as np
+
+    steps = np.array([0, 1, 127, 128, 16383, 16384, 5, 2**40, 0])
+    raw, size = L.packed(steps)
+    assert L.unpacked(raw.tobytes(), np.array([4, 5])).tolist() == [*np.cumsum(steps[:4]), *np.cumsum(steps[4:])] and size.sum() == len(raw)
+
+
+def test_passages_in_turns(spark, monkeypatch):
+    chunks, tests = make()
+    c, t = spark.createDataFrame(chunks, CHUNKS), spark.createDataFrame(tests, TESTS)
+    monkeypatch.setattr(L, "PASSAGE_TERMS", 300)
+    assert {(r.chunk_pk, r.test_id) for r in L.leaked_passages(c, t).collect()} == brute(chunks, tests)
+
+
+def test_long_tags_do_not_count():
+    tag = '<a href="' + "x/" * 300 + '">'
+    assert L.words_of(f"one {tag}two</a> 3 < 4 and 5 > 2") == ["one", "two", "3", "4", "and", "5", "2"]
+
+
 def test_words():
     assert L.words_of("Der ﬁne <i>Über</i>-Test: ２ x­y 3.5 mg") == ["der", "fine", "über", "test", "2", "xy", "3", "5", "mg"]
 
