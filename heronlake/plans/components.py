@@ -14,19 +14,19 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def _large_star(edges: DataFrame, least: int) -> DataFrame:
+def _large_star(edges: DataFrame, least: int, total: int) -> DataFrame:
     """Every neighbour above ``u`` is tied to the smallest node around ``u``."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     around = both.groupBy("u").agg(F.min("v").alias("near"), F.count(F.lit(1)).alias("n"))
-    heavy = heavy_keys(around, "u", least=least, weight="n")
+    heavy = heavy_keys(around, "u", least=least, weight="n", total=2 * total)
     lowest = around.select("u", F.least("u", "near").alias("m"))
     return salted_join(both.where("v > u"), lowest, "u", heavy=heavy, spread_by=["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, least: int) -> DataFrame:
+def _small_star(edges: DataFrame, least: int, total: int) -> DataFrame:
     """``u`` and its smaller neighbours are tied to the smallest of them."""
     around = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    heavy = heavy_keys(around, "u", least=least, weight="n")
+    heavy = heavy_keys(around, "u", least=least, weight="n", total=total)
     lowest = around.select("u", "m")
     moved = salted_join(edges, lowest, "u", heavy=heavy, spread_by=["v"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(lowest.select("u", F.col("m").alias("v"))).distinct()
@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60,
     now = cut(pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     mark = _fingerprint(now)
     for _ in range(max_rounds):
-        now = cut(_small_star(_large_star(now, heavy_rows), heavy_rows))
+        now = cut(_small_star(_large_star(now, heavy_rows, mark[0]), heavy_rows, mark[0]))
         new = _fingerprint(now)
         if new == mark:
             break

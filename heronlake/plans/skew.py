@@ -14,14 +14,17 @@ SALTS = 64
 
 
 def heavy_keys(
-    df: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS, weight: str | None = None
+    df: DataFrame, key: str, share: float = HEAVY_SHARE, least: int = HEAVY_ROWS, weight: str | None = None, total: int | None = None
 ) -> list:
     """Keys with at least ``share`` of all rows and ``least`` rows (at most ``1/share`` keys).
 
-    ``weight`` names a column of row counts where ``df`` is already aggregated by key.
+    ``weight`` names a column of row counts where ``df`` is already aggregated by key; ``total`` is
+    the number of rows where it is known: below ``least`` no key is looked at.
     """
+    if total is not None and total < least:
+        return []
     counts = df.select(F.col(key).alias("k"), F.col(weight).alias("n")) if weight else df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total = (counts.agg(F.sum("n")).first()[0] or 0) if total is None else total
     floor = max(total * share, least)
     if total < floor:
         return []
