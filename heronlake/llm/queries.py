@@ -11,8 +11,16 @@ from . import cutting, leaks, mixing, packing, pairs, pii, sentences, splits
 from .common import table
 
 
+def _placed(spark: SparkSession, d: str) -> DataFrame:
+    return splits.place_keys(table(spark, d, "user_feedback"), table(spark, d, "split_share"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return splits.tied_sessions(table(spark, d, "user_feedback"))
+    return splits.tied_sessions(_placed(spark, d))
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return splits.unit_members(_placed(spark, d))
 
 
 def p1_splits(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +112,7 @@ def p8_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_splits, p1_shares, p2_found, p2_defects, p3_found, p3_leaked_items, p3_near, p4_found, p4_pieces, p5_found, p5_redacted, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_sentences)}
+    return {f.__name__: f for f in (p1_found, p1_members, p1_splits, p1_shares, p2_found, p2_defects, p3_found, p3_leaked_items, p3_near, p4_found, p4_pieces, p5_found, p5_redacted, p6_pack, p6_report, p7_mix, p7_report, p8_found, p8_sentences)}
 
 
 def oracle_sql() -> dict[str, str]:

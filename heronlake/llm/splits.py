@@ -24,28 +24,56 @@ BINS = 200
 BLOCKS = 64
 
 
-def session_components(feedback: DataFrame, heavy_rows: int = 200_000) -> tuple[DataFrame, DataFrame]:
-    """``(node, root)`` over tied sessions, and ``(question, lead)``: each question's smallest session.
+def tied_keys(feedback: DataFrame, heavy_rows: int = 200_000) -> DataFrame:
+    """Every key by which rows are placed, with its rows and its unit: ``kind, key, n, unit``.
 
-    A question's sessions are tied to its smallest session, so the graph has sessions only and a
-    question asked in n sessions gives n-1 edges instead of all pairs.
+    ``kind`` is ``s`` (session), ``q`` (question of rows without a session) or ``r`` (rows with
+    neither, by the hash of the row). The table is read once, for the counts by session and question.
+    A question's sessions are tied to its smallest session, so the graph has sessions only and
+    a question asked in n sessions gives n-1 edges instead of all pairs.
     """
-    seen = feedback.select(clean_id("session_id").alias("session"), clean_id("question_id").alias("question")).where("session is not null and question is not null").distinct()
-    lead = seen.groupBy("question").agg(F.min("session").alias("lead"), F.count(F.lit(1)).alias("n"))
+    session, question = clean_id("session_id"), clean_id("question_id")
+    alone = F.when(session.isNull() & question.isNull(), F.sha1(F.to_json(F.struct(*[F.col(f"`{c}`") for c in feedback.columns]))))
+    seen = cut(feedback.select(session.alias("session"), question.alias("question"), alone.alias("alone")).groupBy("session", "question", "alone").agg(F.count(F.lit(1)).alias("n")))
+    both = seen.where("session is not null and question is not null").select("session", "question")
+    lead = cut(both.groupBy("question").agg(F.min("session").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     heavy = heavy_keys(lead, "question", least=heavy_rows, weight="n")
-    edges = salted_join(seen, lead.select("question", "lead"), "question", heavy=heavy, spread_by=["session"])
-    return connected_components(edges, "session", "lead", heavy_rows=heavy_rows), lead.select("question", "lead")
+    edges = salted_join(both, lead.select("question", "lead"), "question", heavy=heavy, spread_by=["session"]).select("session", "lead")
+    nodes = connected_components(edges, "session", "lead", heavy_rows=heavy_rows)
+    # a question without a session ties its rows to the sessions that asked it
+    first = both.groupBy("question").agg(F.min("session").alias("lead"))
+    loose = seen.where("session is null and question is not null").select("question", "n").join(first, "question", "left")
+    of_session = seen.where("session is not null").groupBy(F.col("session").alias("key")).agg(F.sum("n").alias("n")).withColumn("kind", F.lit("s")).withColumn("at", F.col("key"))
+    of_question = loose.select(F.col("question").alias("key"), "n", F.lit("q").alias("kind"), F.col("lead").alias("at"))
+    placed = of_session.unionByName(of_question).join(nodes, F.col("at") == F.col("node"), "left")
+    named = placed.select("kind", "key", "n", F.coalesce(F.concat(F.lit("s|"), F.coalesce("root", "at")), F.concat_ws("|", "kind", "key")).alias("unit"))
+    return named.unionByName(seen.where("alone is not null").select(F.lit("r").alias("kind"), F.col("alone").alias("key"), "n", F.concat(F.lit("r|"), "alone").alias("unit")))
+
+
+#: Sessions of a unit that are paired in one go: larger units are paired in blocks of this many.
+PAIR_BLOCK = 1000
 
 
-def tied_sessions(feedback: DataFrame) -> DataFrame:
-    """Pairs of different sessions that must share a split (``session_a < session_b``).
+def tied_sessions(placed: DataFrame) -> DataFrame:
+    """Pairs of different sessions that share a unit (``session_a < session_b``), from the keys that
+    ``place_keys`` gives.
 
-    Null and blank ids tie nothing; ids are compared trimmed and in lower case. The result is
-    quadratic in the sessions of one component, as it is defined over pairs.
+    Quadratic in the sessions of one unit, as it is defined over pairs. The first of a pair is spread
+    over blocks of its unit, each of which meets all sessions of the unit, so that a unit with a
+    third of all sessions is many tasks.
     """
-    nodes, _ = session_components(feedback)
-    a, b = nodes.toDF("session_a", "root"), nodes.toDF("session_b", "root")
-    return a.join(b, "root").where("session_a < session_b").select("session_a", "session_b").distinct()
+    s = placed.where("kind = 's'").select(F.col("key").alias("session"), "unit")
+    sizes = s.groupBy("unit").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("unit", F.ceil(F.col("m") / PAIR_BLOCK).cast("int").alias("blocks"))
+    s = cut(s.join(sizes, "unit"))
+    a = s.select(F.col("session").alias("session_a"), "unit", F.pmod(F.xxhash64("session"), F.col("blocks")).cast("int").alias("block"))
+    b = s.select(F.col("session").alias("session_b"), "unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return a.join(b, ["unit", "block"]).where("session_a < session_b").select("session_a", "session_b")
+
+
+def unit_members(placed: DataFrame) -> DataFrame:
+    """One row for each key: its unit, the unit's split, sessions and rows."""
+    sizes = placed.groupBy("unit").agg(F.count_if(F.col("kind") == "s").alias("sessions"), F.sum("n").alias("rows"))
+    return placed.join(sizes, "unit").select("kind", "key", "unit", "split", "sessions", "rows")
 
 
 def _difference(items: list[tuple[float, list[tuple[float, int]]]], bins: int, parent: dict[int, int]) -> list[tuple[float, int]]:
@@ -141,33 +169,35 @@ def deal_bins(weights: dict[int, float], shares: dict[str, float]) -> dict[int,
     return out
 
 
-def assign_splits(feedback: DataFrame, split_share: DataFrame, bins: int = BINS, heavy_rows: int = 200_000) -> DataFrame:
-    """Every row of ``feedback`` with a column ``split`` added.
-
-    Rows with neither id are units of their own (equal rows share one). Shares are scaled to sum
-    to one; null or negative shares count as zero. An empty table stays empty; a column named
-    ``split`` that is already there is replaced. Unit weights are rows.
-    """
+def place_keys(feedback: DataFrame, split_share: DataFrame, bins: int = BINS, heavy_rows: int = 200_000) -> DataFrame:
+    """The keys of ``tied_keys`` with the ``split`` of their unit: units are differenced over bins and
+    whole bins dealt. Shares are scaled to sum to one; null or negative shares count as zero."""
     shares = {r.split_name: max(0.0, r.target_share or 0.0) for r in split_share.where("split_name is not null").collect()}
     if not sum(shares.values()):
         raise ValueError("no split has a share")
     shares = {k: v / sum(shares.values()) for k, v in shares.items()}
-    rows = feedback.drop("split")
-    text_of = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
-    session, question = clean_id("session_id"), clean_id("question_id")
-    key = F.coalesce(F.concat(F.lit("s|"), session), F.concat(F.lit("q|"), question), F.concat(F.lit("r|"), F.sha1(text_of)))
-    keys = rows.select(key.alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
-    nodes, lead = session_components(feedback, heavy_rows)
-    of_session = nodes.select(F.concat(F.lit("s|"), "node").alias("_key"), F.concat(F.lit("s|"), "root").alias("unit"))
-    of_question = lead.join(nodes.withColumnRenamed("node", "lead"), "lead", "left").select(F.concat(F.lit("q|"), "question").alias("_key"), F.concat(F.lit("s|"), F.coalesce("root", "lead")).alias("unit"))
-    keys = cut(keys.join(of_session.union(of_question), "_key", "left").select("_key", "n", F.coalesce("unit", "_key").alias("unit")))
+    keys = cut(tied_keys(feedback, heavy_rows))
     placed = cut(balance(keys.groupBy("unit").agg(F.sum("n").alias("n")), "unit", "n", bins))
     totals = {r.bin: r.w for r in placed.groupBy("bin").agg(F.sum("weight").alias("w")).collect()}
     dealt = deal_bins(totals, shares)
     name = F.element_at(F.create_map(*[F.lit(x) for pair in dealt.items() for x in pair]), F.col("bin")) if dealt else F.lit(None).cast("string")
-    split_of = keys.join(placed.select("unit", name.alias("split")), "unit").select("_key", "split")
-    heavy = heavy_keys(keys, "_key", least=heavy_rows, weight="n")
-    return salted_join(rows.withColumn("_key", key), split_of, "_key", heavy=heavy, spread_by=["feedback_id", "received_at"]).drop("_key")
+    return keys.join(placed.select("unit", name.alias("split")), "unit").select("kind", "key", "n", "unit", "split")
+
+
+def assign_splits(feedback: DataFrame, split_share: DataFrame, bins: int = BINS, heavy_rows: int = 200_000) -> DataFrame:
+    """Every row of ``feedback`` with a column ``split`` added.
+
+    Rows with neither id are units of their own (equal rows share one). An empty table stays empty;
+    a column named ``split`` that is already there is replaced. Unit weights are rows.
+    """
+    rows = feedback.drop("split")
+    keys = cut(place_keys(rows, split_share, bins, heavy_rows))
+    session, question = clean_id("session_id"), clean_id("question_id")
+    alone = F.sha1(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
+    key = F.coalesce(F.concat(F.lit("s|"), session), F.concat(F.lit("q|"), question), F.concat(F.lit("r|"), alone))
+    split_of = keys.select(F.concat_ws("|", "kind", "key").alias("_key"), "split", "n")
+    heavy = heavy_keys(split_of, "_key", least=heavy_rows, weight="n")
+    return salted_join(rows.withColumn("_key", key), split_of.drop("n"), "_key", heavy=heavy, spread_by=["feedback_id", "received_at"]).drop("_key")
 
 
 def split_report(assigned: DataFrame, split_share: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_balance_is_even_over_blocks(spark):
     assert len(got) == 3000 and len(bins) == 20 and max(bins.values()) - min(bins.values()) <= 40
 
 
-def test_ties_match_union_find(spark):
+def test_ties_match_union_find(spark, monkeypatch):
     df = spark.createDataFrame(rows(400, hot=False), SCHEMA)
     parent = {}
 
@@ -72,12 +72,20 @@ def test_ties_match_union_find(spark):
             parent[root("s" + s)] = root("q" + q)
     names = sorted(x[1:] for x in parent if x[0] == "s")
     want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if root("s" + a) == root("s" + b)}
-    assert {tuple(r) for r in splits.tied_sessions(df).collect()} == want
+    shares = spark.createDataFrame(SHARES, "split_name string, target_share double")
+    monkeypatch.setattr(splits, "PAIR_BLOCK", 7)
+    placed = splits.place_keys(df, shares, heavy_rows=20)
+    got = splits.tied_sessions(placed).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    members = {r.key: r for r in splits.unit_members(placed).collect() if r.kind == "s"}
+    assert len(members) == len(names) and all(members[a].unit == members[b].unit and members[a].split == members[b].split for a, b in want)
+    assert all(m.sessions == sum(o.unit == m.unit for o in members.values()) for m in members.values())
+    assert sum({m.unit: m.rows for m in splits.unit_members(placed).collect()}.values()) == df.count()
 
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     shares = spark.createDataFrame(SHARES, "split_name string, target_share double")
-    assert splits.assign_splits(df, shares).count() == 0 and splits.tied_sessions(df).count() == 0
+    assert splits.assign_splits(df, shares).count() == 0 and splits.tied_sessions(splits.place_keys(df, shares)).count() == 0
     with pytest.raises(ValueError):
         splits.assign_splits(df, shares.limit(0))
