@@ -407,18 +407,19 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS, train_phrases
     finished = judged.select(F.explode("units").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n")).select("text", F.lit(True).alias("finished"))
     open_ends = judged.where("ending is not null")
     endings = open_ends.groupBy(F.col("ending").alias("text")).agg(F.lit(False).alias("finished"))
-    kinds = finished.union(endings).groupBy("text").agg(F.max("finished").alias("finished"), (F.max(F.when(~F.col("finished"), F.lit(1)))).alias("open"))
+    # stored, as the range partitions are sampled from it and the classifier learns from it
+    kinds = cut(finished.union(endings).groupBy("text").agg(F.max("finished").alias("finished"), (F.max(F.when(~F.col("finished"), F.lit(1)))).alias("open")))
     # responses and units in one sort: "u" units, "r" whole responses
     keyed = kinds.select(F.concat(F.lit("u"), "text").alias("key"), "finished", "open").union(judged.select(F.concat(F.lit("r"), "whole").alias("key"), F.lit(False), F.lit(1)).where("key is not null").distinct())
     # carried on: any other text begins with it and is more than one character longer
-    beside = carried_on(keyed, "key").where("open = 1").select("key", "finished", "carried_on")
+    beside = cut(carried_on(keyed, "key").where("open = 1").select("key", "finished", "carried_on"))
     # both counts are of different texts or questions, and relative to the table
-    texts, questions = open_ends.agg(F.count_distinct("whole"), F.count_distinct("asked")).first()
+    texts, questions, n_open = open_ends.agg(F.count_distinct("whole"), F.count_distinct("asked"), F.count(F.lit(1))).first()
     spikes = open_ends.select("length", "whole").distinct().groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     near = spikes.alias("a").join(spikes.select(F.col("length").alias("l2"), F.col("n").alias("n2")).withColumn("at", F.explode(F.sequence(F.col("l2") - 8, F.col("l2") + 8))).alias("b"), F.col("a.length") == F.col("b.at")).groupBy("a.length", "a.n").agg(((F.sum("n2") - F.col("n")) / 16).alias("around"))
     spikes = near.where((F.col("n") >= max(SPIKE_LEAST, SPIKE_SHARE * texts)) & (F.col("n") > 6 * F.col("around"))).select("length", F.lit(True).alias("spike"))
 
-    sample = finished.orderBy(F.xxhash64("text")).limit(train_units)
+    sample = kinds.where("finished").orderBy(F.xxhash64("text")).limit(train_units)
     shortened = beside.where(F.col("carried_on") & F.startswith("key", F.lit("u"))).select(F.substring("key", 2, 1 << 30).alias("ending"))
     phrases = open_ends.where("ending = whole").groupBy("ending").agg(F.count_distinct("asked").alias("n")).where(F.col("n") >= max(PHRASE_LEAST, PHRASE_SHARE * questions))
     phrases = phrases.join(shortened, "ending", "left_anti").orderBy(F.desc("n"), "ending").limit(train_phrases)
@@ -437,8 +438,8 @@ def broken_pairs(pairs: DataFrame, train_units: int = TRAIN_UNITS, train_phrases
     phrase = F.col("ending").rlike(r"^(?:\p{Ll}[\p{Ll} ]|0)") & (F.col("ending") == F.col("whole")) & (F.size(F.split("ending", " ")) <= 6)
     # one ending or one text may hold a large part of the rows
     ends = open_ends.select("src_table", "pair_key", "ending", "whole", "length").distinct()
-    ends = salted_join(ends, of_unit.withColumnRenamed("text", "ending"), "ending", heavy=heavy_keys(open_ends, "ending"), spread_by=["pair_key"])
-    ends = salted_join(ends, of_whole, "whole", "left", heavy=heavy_keys(open_ends, "whole"), spread_by=["pair_key"])
+    ends = salted_join(ends, of_unit.withColumnRenamed("text", "ending"), "ending", heavy=heavy_keys(open_ends, "ending", total=n_open), spread_by=["pair_key"])
+    ends = salted_join(ends, of_whole, "whole", "left", heavy=heavy_keys(open_ends, "whole", total=n_open), spread_by=["pair_key"])
     known = (
         ends.join(F.broadcast(spikes), "length", "left")
         .withColumn("unfinished", F.when(F.col("finished") | phrase, F.lit(False)).when(F.col("carried_on") & (F.col("score") > -2.0), F.lit(True)).when(F.col("whole_on") & (F.col("score") > -2.0), F.lit(True)).otherwise(F.col("score") > F.when(F.col("spike"), F.lit(-1.0)).otherwise(F.lit(0.0))))
