@@ -8,8 +8,10 @@ numbers, however they are written, stay linked across documents without being re
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
@@ -65,8 +67,11 @@ _ADDRESS = re.compile(
     re.I,
 )
 _ADDRESS_DE = re.compile(r"(?<!\w)(?:Am|An der|Im|Auf dem|Zum|Zur)\s[A-ZÄÖÜ][\wäöüß-]+\s\d{1,4}[a-z]?(?!\w)(?!\.)(?:,?\s*\d{5}\s[^\W\d_][\w-]+)?")
+#: Kinds of street that are ordinary words as well: they count only where they are written as names are.
+_MINOR = r"(?:Alley|Approach|Bank|Bend|Bridge|Circle|Corner|Croft|Cross|Dale|Drove|End|Esplanade|Estate|Fields?|Gate|Glade|Glen|Green|Grove|Heath|Heights|Highway|Hill|Loop|Mall|Meadows?|Mews|Mount|Parade|Park|Pass|Path|Place|Pl|Promenade|Quay|Ridge|Rise|Row|Trail|Vale|View|Villas|Walk|Way|Wharf|Wood|Yard)"
+_ADDRESS_MINOR = re.compile(rf"(?<![\w.])\d{{1,5}}[A-Za-z]?,?(?:[ \t]+[A-ZÀ-ÞА-Я][\w'’-]+){{1,3}}?[ \t]+{_MINOR}(?![\w]){_TAIL}")
 _ADDRESS_CUED = re.compile(
-    r"(?:my address is|i live at|we moved to|pickup from|leaflet to|ich wohne (?:in der|in|am)|anschrift:?|meine adresse(?: ist|:)?|adresse\s?:|j['’]habite(?: au)?|envoyez-le au|vivo en|mi dirección(?::| es))\s+"
+    r"(?:\b(?:address(?: is|:)|(?:live|lives|living|staying|reside|resides) (?:at|in)|moved? to|(?:pick ?-?up|collect(?:ed)?|picked up) from|(?:send|sent|post|posted|mail|deliver|delivered|bring|ship|forward)\b[\w ]{0,30}?\bto|visit (?:me|us) at|come to|home is(?: at)?)|\bwohn(?:e|en|t) (?:in der|in|am|an der)|anschrift(?: ist)?:?|adresse(?: ist| est)?\s?:?|habit(?:e|ons)(?: au)?|envoyez[\w-]* (?:au|à)|viv(?:o|imos) en|direcci[óo]n(?::| es))\s+"
     r"(?P<v>[^\n;!?()@]{0,40}?\d{1,5}(?:[^\S\n]?[a-z])?(?!\w)(?:,\s*\d{5}\s[^\W\d_]\w+)?)",
     re.I,
 )
@@ -76,22 +81,46 @@ _ADDRESS_CUED = re.compile(
 _CAP = r"(?:[A-ZÀ-ÖØ-ÞĀŁŚŠŽА-Я][\w'’-]+)"
 _INI = r"(?:[A-ZÀ-ÖØ-Þ]\.\s?)"
 _ANY = r"(?:[^\W\d_][^\W\d_'’]*(?:['’-][^\W\d_]+)*)"
+_TWO = rf"(?:{_INI}{{1,2}}{_CAP}|{_CAP}[ \t]+(?:{_INI})?{_CAP})"
 _PAIR = rf"(?:{_INI}{{1,2}}{_CAP}|{_CAP}(?:[ \t]+{_INI})?(?:[ \t]+{_CAP})?)"
-#: After these words a name follows in whatever case it is written.
-_NAME_SURE = re.compile(
-    rf"(?<!\w)(?i:my name is|my name's|je m['’]appelle|me llamo|mi nombre es|mein name ist|ich heiße|ich heisse|меня зовут|signed,?|signé,?|firmado:?|regards,?|gruß,?|grüße,?|unterzeichnet,?|cordialement,?|saludos,?)\s+(?P<v>(?:(?i:[a-zà-þ]\.\s?)?{_ANY}(?:[ \t]+{_ANY})?))"
+# Words that stand beside names, from which the patterns and the gate are built.
+#: After these a name follows in whatever case it is written.
+_SURE = r"my name is|my name's|name[ \t]*:|je m['’]appelle|mon nom est|me llamo|mi nombre es|mein name ist|ich heiße|ich heisse|mi chiamo|mijn naam is|меня зовут|моё имя|signed,?|signé,?|firmado:?|regards,?|gruß,?|grüße,?|unterzeichnet,?|cordialement,?|saludos,?"
+_TITLE = r"dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester"
+_KIN = r"(?:daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|niece|nephew|cousin|grandmother|grandfather|grandson|granddaughter|colleague|neighbour|neighbor|friend|boss|tochter|sohn|frau|mann|mutter|vater|schwester|bruder|fille|femme|mère|fils|mari|père|sœur|frère|hija|hijo|esposa|marido|madre|padre|hermana|hermano)"
+_STAFF = r"(?:nurse|midwife|matron|doctor|physician|surgeon|therapist|physiotherapist|dietitian|pharmacist|carer|caregiver|receptionist|secretary|counsellor|consultant|patient|client|resident|patientin|infirmière|enfermera)"
+_OWN = r"(?:my|our|his|her|their|your|the|an?|meine?|unsere?|ma|mon|notre|mi|su)"
+_SPEECH = r"(?:phoned|called|rang|asked|asks|told|said|says|wrote|writes|e-?mailed|texted|messaged|wanted|wants|would like|needs|needed|explained|complained|reported|mentioned|visited|came|attended|replied|answered|spoke|confirmed|sent|here|hier|ici|aquí|fragte|sagte|rief|schrieb|möchte|a dit|a appelé|a demandé|dijo|llamó|preguntó|escribió|сказала?|спросила?|позвонила?)"
+_CLOSING = r"(?:thanks|thank you|best wishes|best|cheers|yours(?: sincerely)?|sincerely|merci|gracias|un saludo|danke|с уважением)"
+_NAME_SURE = re.compile(rf"(?<!\w)(?i:{_SURE})\s+(?P<v>(?:(?i:[a-zà-þ]\.\s?)?{_ANY}(?:[ \t]+{_ANY})?))")
+_TITLED = re.compile(rf"(?<!\w)(?i:{_TITLE})\.?[ \t]+(?P<v>{_PAIR})")
+_TITLED_LOW = re.compile(rf"(?<!\w)(?i:dr|prof|mrs|mr|ms|frau|herr|mme|mlle|sra|srta)\.?[ \t]+(?P<v>{_ANY})(?=\s+(?i:told|next|hat|hatte|m['’]a|me|said|says|saw|advised|wrote|asked|phoned|called|a dit)\b)")
+_NAME_CAP = re.compile(
+    rf"(?<!\w)(?:(?i:i['’]m|i am|this is|nurse|midwife|{_OWN}[ \t]+(?:late |young |elder |little |new )?{_KIN}|(?:patient|man|woman|boy|girl|nurse|person|someone) (?:named|called))[ \t]+(?P<v>{_PAIR})"
+    rf"|(?i:{_OWN}[ \t]+(?:{_KIN}|{_STAFF}))(?:,[ \t]*|[ \t]+)(?P<w>{_TWO})"
+    rf"|(?i:{_OWN}[ \t]+{_KIN}),[ \t]+(?P<x>{_CAP})(?=,)"
+    rf"|(?i:ask(?:ed|ing)? for|speak (?:to|with)|talk to|contact)[ \t]+(?P<y>{_TWO}|{_CAP}(?=[ \t]+(?:at|in|on|from)\b)))"
 )
-_TITLED = re.compile(rf"(?<!\w)(?i:dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester)\.?[ \t]+(?P<v>{_PAIR})")
-_TITLED_LOW = re.compile(rf"(?<!\w)(?i:dr|prof|mrs|mr|ms|frau|herr|mme|mlle|sra|srta)\.?[ \t]+(?P<v>{_ANY})(?=\s+(?i:told|next|hat|hatte|m['’]a|me|said|says|saw|advised|wrote|a dit)\b)")
-_KIN = r"(?:daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|grandmother|grandfather|colleague|neighbour|neighbor|friend|boss)"
-_NAME_CAP = re.compile(rf"(?<!\w)(?i:i['’]m|i am|this is|ask for|nurse|midwife|my {_KIN}|(?:patient|man|woman|boy|girl|nurse) (?:named|called)|meine? (?:tochter|sohn|frau|mann|mutter|vater)|ma (?:fille|femme|mère)|mon (?:fils|mari|père)|mi (?:hija|hijo|esposa|marido|madre|padre))[ \t]+(?P<v>{_PAIR})")
-_KIN_LOW = re.compile(rf"(?<!\w)(?:asking for my {_KIN}[ \t]+(?P<v>{_ANY})(?!\w)|my {_KIN}[ \t]+(?P<w>{_ANY})(?=[ \t]+had the same)|nurse[ \t]+(?P<x>{_ANY})(?=[ \t]+from the)|ask for[ \t]+(?P<y>{_ANY}(?:[ \t]+{_ANY})?)(?=[ \t]+at the desk))", re.I)
-_HERE = re.compile(rf"(?<!\w)(?P<v>{_CAP}[ \t]+{_CAP})(?=[ \t]+(?i:here|aquí|hier|ici)\b)")
-_WANTED = re.compile(rf"(?<!\w)(?P<v>{_ANY},[ \t]+{_ANY})(?=[ \t]+(?i:wanted to know|asked|would like))")
+#: In small letters a word after a relative is a name where a verb or the end of the clause follows.
+_KIN_LOW = re.compile(rf"(?<!\w)(?:(?:my|our|his|her)[ \t]+{_KIN}|(?:nurse|midwife)(?=[ \t]+\w+[ \t]+(?:from|at|on|in)[ \t]+the))[ \t]+(?P<v>{_ANY})(?=[ \t]+(?:had|has|is|was|said|told|asked|got|will|would|can|could|needs|takes|took|from|at|on|in)\b|[ \t]*[,;.!?)\n-]|[ \t]*$)", re.I)
+_ACTS = re.compile(rf"(?<![\w.'’-])(?:(?P<v>{_TWO}),?|(?P<w>{_CAP},[ \t]+{_CAP}),?)(?=[ \t]+(?i:{_SPEECH})(?!\w))")
+_CLOSED = re.compile(rf"(?<!\w)(?i:{_CLOSING})[,.!]?[ \t]*[-–—]?\s*(?P<v>{_TWO})\s*[.!]?\s*$")
 _NOT_NAME = frozenset(
     "a an the i my me we you it he she they is was were has had have be been in on at of to for from with and or not no yes so very too much just still also patient doctor nurse taking sure sorry worried afraid new old il elle le la les un une der die das ein eine el los las una por para que wrong right fine good bad safe true false clear answer what "
-    "this that these those there here how why when where which who prof dr mr mrs ms hospital clinic surgery infirmary".split()
+    "this that these those there here how why when where which who prof dr mr mrs ms hospital clinic surgery infirmary "
+    "our his her their your today yesterday tomorrow again now then home once twice before after later back abroad alone well ill sick died however finally maybe perhaps unfortunately patients people doctors nurses please thanks thank dear hello hi".split()
 )
+#: What follows a relative in small letters and is no name.
+_FOLLOWS = frozenset("will would can could should may might must and but because since until without about over by gets got took takes does did goes went said says told asked all both each some any".split())
+#: A capital pair with one of these is an institution, an illness, a test or a medicine.
+_THING = frozenset("hospital clinic surgery infirmary centre center university institute pharmacy department ward school college foundation trust society council care medical health practice group company association academy laboratory lab unit service services syndrome disease disorder test score scale trial study leaflet guideline journal xr sr er mr plus forte klinik krankenhaus apotheke hôpital clinique centro clínica".split())
+_OF_THING = re.compile(rf"[ \t]+(?:[A-Z]\w+[ \t]+)?(?i:{'|'.join(sorted(_THING))})\b")
+_TOKEN = re.compile(r"[^\W\d_]+")
+_WORDS_OF = lambda fragment: frozenset(_TOKEN.findall(fragment.replace("(?:", " ").replace("?", "")))
+_TITLES = _WORDS_OF(_TITLE) | {"herr"}
+_NOUNS = _WORDS_OF(_KIN) | _WORDS_OF(_STAFF) | {"ask", "asked", "asking", "speak", "talk", "contact", "named", "called"}
+_SURE_HINTS = ("name", "appelle", "nom est", "llamo", "nombre", "hei", "chiamo", "naam", "зовут", "имя", "sign", "firmado", "unterz", "regards", "gruß", "grüße", "cordial", "saludos")
+_NO_LOW_NAME = re.compile(r"(?:ed|ing|ly|s)$")
 
 
 def _feistel(digits: str, key: bytes, tweak: str = "", rounds: int = 10) -> str:
@@ -127,68 +156,133 @@ def _mod11(nine: str) -> int:
     return (11 - sum(int(d) * w for d, w in zip(nine, range(10, 1, -1))) % 11) % 11
 
 
+def _luhn(digits: str) -> int:
+    """Check digit behind ``digits``."""
+    return -sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits))) % 10
+
+
+#: Fixed value: check letters by the remainder of 23.
+_LETTERS23 = "TRWAGMYFPDXBNJZSQVHLCKE"
+# Country codes of one and two digits; all others have three.
+_CODE1 = ("1", "7")
+_CODE2 = tuple("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def _code(digits: str) -> int:
+    """Length of the country code with which an international number begins."""
+    return 1 if digits.startswith(_CODE1) else 2 if digits.startswith(_CODE2) else 3
+
+
+def _identity(value: str, digits: str, key: bytes) -> tuple[str, str]:
+    """New digits of an identity number and the letter behind them, of a valid number a valid one."""
+    letter = value[-1].upper() if value[-1:].isalpha() else ""
+    if len(digits) == 8 and letter and letter == _LETTERS23[int(digits) % 23]:
+        new = _feistel(digits, key, "id23")
+        return new, _LETTERS23[int(new) % 23]
+    if len(digits) == 15 and int(digits[13:]) == 97 - int(digits[:13]) % 97:
+        new = _feistel(digits[:13], key, "id97")
+        return new + f"{97 - int(new) % 97:02d}", letter
+    if len(digits) == 10 and _mod11(digits[:9]) == int(digits[9]):
+        new = _feistel(digits[:9], key, "id11")
+        while _mod11(new) == 10:
+            new = _feistel(new, key, "id11")
+        return new + str(_mod11(new)), letter
+    if len(digits) >= 11 and _luhn(digits[:-1]) == int(digits[-1]):
+        new = _feistel(digits[:-1], key, "luhn")
+        return new + str(_luhn(new)), letter
+    return _feistel(digits, key, "id_number"), letter
+
+
 def pseudonym(value: str, kind: str, key: bytes) -> str:
-    """``value`` with its digits permuted and all else kept.
+    """``value`` with its digits permuted and all else kept; digits of any script become ASCII ones.
 
-    A ten-digit identity number with a valid modulo-11 check digit gets a valid one again; of a
-    phone number the international prefix and an extension stay, so that ways of writing one
-    number stay linked.
+    An identity number with a valid check digit or letter (modulo 11, 23, 97 or Luhn) gets a valid one
+    again; of a phone number the international prefix and an extension stay, so that ways of
+    writing one number stay linked.
     """
+    value = "".join(str(unicodedata.digit(c)) if c.isdecimal() else c for c in value)
     core = re.sub(r"(?i)\s?(?:ext\.?|x|durchwahl|poste)\s?\d+$", "", value) if kind == "phone" else value
-    digits = "".join(c for c in core if c.isdigit())
-    keep = 0
-    if kind == "phone":
-        keep = 4 if digits.startswith("0049") else 2 if core.lstrip("(").startswith("+") and not digits.startswith("1") else 1 if len(digits) == 11 and digits[0] == "1" else 1 if digits[:1] == "0" and not digits.startswith("000") else 0
-    head, body = digits[:keep], digits[keep:]
-    if kind == "id_number" and len(digits) == 10 and _mod11(digits[:9]) == int(digits[9]):
-        nine = _feistel(digits[:9], key, "id11")
-        while _mod11(nine) == 10:
-            nine = _feistel(nine, key, "id11")
-        new = nine + str(_mod11(nine))
+    digits = "".join(c for c in core if c.isdecimal())
+    end = ""
+    if kind == "id_number":
+        new, end = _identity(core, digits, key)
     else:
-        new = head + _feistel(body, key, kind)
+        keep = 0
+        if core.lstrip("(").startswith("+"):
+            keep = _code(digits)
+        elif digits.startswith("00") and not digits.startswith("000") and len(digits) > 10:
+            keep = 2 + _code(digits[2:])
+        elif len(digits) == 11 and digits[0] == "1" or digits[:1] == "0" and not digits.startswith("00"):
+            keep = 1
+        new = digits[:keep] + _feistel(digits[keep:], key, kind)
     it = iter(new)
-    return "".join(next(it) if c.isdigit() else c for c in core) + value[len(core) :]
+    out = "".join(next(it) if c.isdecimal() else c for c in core)
+    if end and out[-1:].isalpha():
+        out = out[:-1] + (end if out[-1].isupper() else end.lower())
+    return out + value[len(core) :]
+
+
+_FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
+
+
+def date_pseudonym(value: str, key: bytes) -> str:
+    """A date of 1900 to 2099 as another one in the same format (2026-03-09, 9.3.2026, 09/03/26), by a
+    keyed permutation of the days; other values stay. Dates are no personal details in the tables
+    of this project, so ``redact`` uses it only where it is asked to."""
+    parts = re.split(r"([-./])", value)
+    if len(parts) != 5 or not all(p.isdecimal() for p in parts[::2]):
+        return value
+    a, b, c = parts[::2]
+    year_first = len(a) == 4
+    y, m, d = (a, b, c) if year_first else (c, b, a)
+    try:
+        day = datetime.date(int(y) + (0 if len(y) == 4 else 2000 if int(y) < 50 else 1900), int(m), int(d)).toordinal() - _FIRST_DAY
+    except ValueError:
+        return value
+    low, high = (0, _DAYS) if len(y) == 4 else (datetime.date(1950, 1, 1).toordinal() - _FIRST_DAY, datetime.date(2050, 1, 1).toordinal() - _FIRST_DAY)
+    if not low <= day < high:
+        return value
+    new = _feistel(f"{day:05d}", key, "date")
+    while not low <= int(new) < high:
+        new = _feistel(new, key, "date")
+    got = datetime.date.fromordinal(_FIRST_DAY + int(new))
+    year = f"{got.year:04d}"[-len(y) :]
+    month, dom = f"{got.month:02d}" if len(m) == 2 else str(got.month), f"{got.day:02d}" if len(d) == 2 else str(got.day)
+    first, last = (year, dom) if year_first else (dom, year)
+    return f"{first}{parts[1]}{month}{parts[3]}{last}"
 
 
 class Finder:
     """Finds spans of personal information in one text."""
 
     def __init__(self, given: Iterable[str] = ()):
-        self.given = {g.strip().lower() for g in given if g and g.strip()}
-        words = "|".join(sorted(map(re.escape, {g.strip() for g in given if g and g.strip()}), key=lambda g: (-len(g), g)))
+        listed = {g.strip() for g in given if g and g.strip()}
+        self.given = {g.lower() for g in listed}
+        self.first = {t[0] for g in self.given if (t := _TOKEN.findall(g))}
+        words = "|".join(sorted(map(re.escape, {g[0].upper() + g[1:] for g in listed}), key=lambda g: (-len(g), g)))
         self.full = re.compile(rf"(?<!\w)(?P<v>(?:{words})[ \t]+{_CAP})") if words else None
-        self.kin_low = re.compile(rf"(?<!\w)(?:i['’]m|i am|this is|ask for|nurse|my {_KIN})[ \t]+(?P<v>(?:{words})(?:[ \t]+{_ANY})?)(?!\w)", re.I) if words else None
-        self.here_low = re.compile(rf"(?<!\w)(?P<v>(?:{words})[ \t]+{_ANY})(?=[ \t]+here\b)", re.I) if words else None
+        self.known = re.compile(rf"(?<!\w)(?:i['’]m|i am|this is|ask for|nurse|(?:my|our|his|her) {_KIN})[ \t]+(?P<v>(?:{words})(?:[ \t]+{_ANY})?)(?!\w)", re.I) if words else None
+        self.known_here = re.compile(rf"(?<!\w)(?P<v>(?:{words})[ \t]+{_ANY}|{_ANY},[ \t]+(?:{words}))(?=[ \t]+{_SPEECH}(?!\w))", re.I) if words else None
 
     def _names(self, text: str) -> Iterable[tuple[int, int]]:
         low = text.lower()
-        if any(c in low for c in ("name", "appelle", "llamo", "nombre", "heiß", "heiss", "зовут", "sign", "firmado", "regards", "gruß", "grüße", "cordialement", "saludos")):
-            for m in _NAME_SURE.finditer(text):
-                yield m.span("v")
-        for m in _TITLED.finditer(text):
-            yield m.span("v")
-        for m in _TITLED_LOW.finditer(text):
-            yield m.span("v")
-        for m in _NAME_CAP.finditer(text):
-            yield m.span("v")
-        if "my " in low or "ask for" in low or "nurse" in low:
-            for m in _KIN_LOW.finditer(text):
+        tokens = set(_TOKEN.findall(low))
+        patterns = [_ACTS, _CLOSED]
+        if any(h in low for h in _SURE_HINTS):
+            patterns.append(_NAME_SURE)
+        if not _TITLES.isdisjoint(tokens):
+            patterns += [_TITLED, _TITLED_LOW]
+        kin = not _NOUNS.isdisjoint(tokens)
+        if kin or "i'm" in low or "i’m" in low or "i am" in low or "this is" in low:
+            patterns.append(_NAME_CAP)
+        if self.full and not self.first.isdisjoint(tokens):
+            patterns += [self.full, self.known, self.known_here]
+        for pattern in patterns:
+            for m in pattern.finditer(text):
                 yield m.span(m.lastgroup)
-        if "wanted to know" in low or "asked" in low or "would like" in low:
-            for m in _WANTED.finditer(text):
-                yield m.span("v")
-        if " here" in low or " hier" in low or " ici" in low or " aqu" in low:
-            for m in _HERE.finditer(text):
-                yield m.span("v")
-            if self.here_low:
-                for m in self.here_low.finditer(text):
-                    yield m.span("v")
-        if self.full:
-            for m in self.full.finditer(text):
-                yield m.span("v")
-        if self.kin_low:
-            for m in self.kin_low.finditer(text):
+        for m in _KIN_LOW.finditer(text) if kin else ():
+            word = m["v"].lower()
+            if word in self.given or word not in _FOLLOWS and len(word) > 2 and not _NO_LOW_NAME.search(word):
                 yield m.span("v")
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -199,7 +293,7 @@ class Finder:
             if b > a and all(b <= x or a >= y for x, y, _ in taken):
                 taken.append((a, b, kind))
 
-        digits = any(c.isdigit() for c in text)
+        digits = any(c.isdecimal() for c in text)
         if "@" in text or "＠" in text or "(at" in text.lower() or "[at" in text.lower() or "( at" in text.lower():
             for m in _EMAIL.finditer(text):
                 add(*m.span(), "email")
@@ -211,6 +305,8 @@ class Finder:
                 add(*m.span(), "address")
             for m in _ADDRESS.finditer(text):
                 add(*m.span(), "address")
+            for m in _ADDRESS_MINOR.finditer(text):
+                add(*m.span(), "address")
             for m in _ADDRESS_CUED.finditer(text):
                 add(*m.span("v"), "address")
             for m in _PHONE.finditer(text):
@@ -229,27 +325,53 @@ class Finder:
             words = re.findall(r"[^\W\d_]{2,}", text[a:b])
             while words and (words[-1].lower() in _NOT_NAME or words[-1].islower() and words[0][0].isupper()):
                 b = a + text[a:b].rindex(words.pop())
-            if words and words[0].lower() not in _NOT_NAME:
+            if words and words[0].lower() not in _NOT_NAME and not any(w.lower() in _THING for w in words) and not _OF_THING.match(text, b):
                 add(a, a + len(text[a:b].rstrip(" .,'-")), "name")
         return sorted(taken)
 
 
-def redact(text: str, spans: list[tuple[int, int, str]], key: bytes) -> str:
-    """``text`` with each span replaced by ``[TYPE]``, or ``[TYPE number]`` with a pseudonym."""
+def redact(text: str, spans: list[tuple[int, int, str]], key: bytes, dates: bool = False) -> str:
+    """``text`` with each span replaced by ``[TYPE]``, or ``[TYPE number]`` with a pseudonym; ``dates``
+    also moves dates outside the spans."""
+    shift = (lambda t: _DATE.sub(lambda m: date_pseudonym(m.group(), key), t)) if dates else (lambda t: t)
     out, at = [], 0
     for a, b, kind in spans:
         v = text[a:b]
-        out += [text[at:a], f"[{kind.upper()} {pseudonym(v, kind, key)}]" if kind in ("phone", "id_number") and any(c.isdigit() for c in v) else f"[{kind.upper()}]"]
+        out += [shift(text[at:a]), f"[{kind.upper()} {pseudonym(v, kind, key)}]" if kind in ("phone", "id_number") and any(c.isdecimal() for c in v) else f"[{kind.upper()}]"]
         at = b
-    return "".join([*out, text[at:]])
+    return "".join([*out, shift(text[at:])])
+
 
+def _java(pattern: str) -> str:
+    """A fragment of the finder as the JVM reads it: word characters, digits and spaces of all scripts."""
+    return pattern.replace(r"[^\W\d_]", r"\p{L}").replace(r"\w", r"[\p{L}\p{M}\p{N}_]").replace(r"[\w ]", r"[\p{L}\p{N}_ ]").replace(r"\d", r"\p{Nd}").replace(r"\s", r"[\s\p{Z}]")
 
-#: Cheap test in the JVM: only texts with one of these can hold personal information.
+
+_JCAP = r"\p{Lu}[\p{L}\p{M}\p{N}_'’-]+"
+_NO_LETTER = r"(?![\p{L}\p{M}])"
+_STREETS = r"street|st|road|rd|avenue|ave|lane|ln|close|crescent|blvd|boulevard|drive|court|terrace|square|parkway|gardens|rue|av|bd|chemin|place|allée|impasse|quai|route|calle|c/|avda|avenida|plaza|paseo|camino|carretera|ronda|travesía|box|postfach|apartado|b\.p|am|an der|im|auf dem|zum|zur"
+#: Cheap tests in the JVM, built from the words of the finder: what passes none of them holds nothing that it finds.
 GATE = (
-    r"[@＠]|(?i)[(\[] ?at ?[)\]]|\d(?:[ .\-/() ]{0,2}\d){3}|\d{1,5}[a-z]?,? \p{L}+[ ,]|(?:str\.|straße|strasse|weg|gasse|allee|platz|graben|ufer|damm|chaussee|calle|avda|avenida|plaza|paseo|wohne|anschrift|adresse|address|habite|vivo en)|\bbox\b|postfach|"
-    r"\b(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)[ ,]+(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)\b|"
-    r"\b(?:my name|i['’]m|i am|this is|ask for|nurse|midwife|signed|sign(?:[éÉ]|e)|firmado|regards|gru(?:ß|ss)|gr[üÜ](?:ß|ss)e|saludos|cordialement|appelle|llamo|nombre|name ist|hei(?:ß|ss)e|wanted to know|here|dr|prof|mr|mrs|ms|miss|frau|herrn?|mme|mlle|sra|srta|sr|dra|schwester|hier|ici|daughter|son|wife|husband|mother|father|mum|mom|dad|sister|brother|partner|aunt|uncle|grandmother|grandfather|colleague|neighbour|friend|tochter|sohn|fille|femme|mari|hija|hijo)\b|зовут"
+    r"[@＠]|\p{Nd}(?:[ .\-/() ]{0,3}\p{Nd}){3}"
+    rf"|(?iu:[(\[][\s\p{{Z}}]?at[\s\p{{Z}}]?[)\]]|{_DIGIT_WORD}[\s,-]+{_DIGIT_WORD}[\s,-]+{_DIGIT_WORD}"
+    rf"|{_java(_SURE)}|(?<![\p{{L}}\p{{N}}_])(?:i['’]m|i am|this is|(?:{_TITLE})\.?[ \t]+\p{{L}}|nurse|midwife|ask(?:ed|ing)? for|speak (?:to|with)|talk to|contact|{_KIN}|{_STAFF}|(?:man|woman|boy|girl|person|someone) (?:named|called)|(?:{_CLOSING}){_NO_LETTER}))"
+    rf"|{_JCAP},?[ \t]+(?:\p{{Lu}}\.[\s\p{{Z}}]?)?{_JCAP}|\p{{Lu}}\.[\s\p{{Z}}]?{_JCAP},?[ \t]+(?iu:{_SPEECH})"
 )
+#: What an address needs besides a digit.
+GATE_ADDRESS = rf"(?iu)(?<![\p{{L}}\p{{N}}_])(?:{_STREETS}){_NO_LETTER}|(?:str\.|straße|strasse|weg|gasse|allee|platz|damm|ufer|graben|chaussee)[\s\p{{Z}}]*\p{{Nd}}|address|adresse|anschrift|direcci[óo]n|live|living|staying|reside|move|pick|collect|send|sent|post|mail|deliver|bring|ship|forward|visit|come to|home is|wohn|habit|envoyez|viv(?:o|imos)|\p{{Nd}}[^\n]{{0,60}}{_MINOR}"
+
+
+def gate(text: Column, listed: list[str] = ()) -> Column:
+    """Whether a text can hold anything that the finder finds; of listed names those in other letter case
+    or beside no cue need one of the words above, so the list is not looked at."""
+    return text.rlike(GATE) | (text.rlike(r"\p{Nd}") & text.rlike(GATE_ADDRESS)) | (text.rlike(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){_SPEECH}{_NO_LETTER}") & _any_name(text, listed))
+
+
+def _any_name(text: Column, listed: list[str]) -> Column:
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(g.lower()) for g in listed]), lambda g: F.contains(low, g)) if 0 < len(listed) <= 200 else F.lit(bool(listed))
+
+
 RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("types", T.ArrayType(T.StringType()))])
 
 
@@ -261,12 +383,14 @@ def given_names(names: DataFrame) -> list[str]:
     return sorted(set(got))
 
 
-def pii_column(text: Column, given: list[str], key: str) -> Column:
+def pii_column(text: Column, given: list[str], key: str, dates: bool = False) -> Column:
     """Struct of the redacted text and the array of types found; null where nothing is found.
 
     Texts that fail the gate never reach Python. The function is marked non-deterministic so that
     the optimiser does not run it a second time for a filter on its result.
     """
+    if not key or not key.strip():
+        raise ValueError("pseudonyms need a secret key")
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     state: dict = {}
 
@@ -276,19 +400,21 @@ def pii_column(text: Column, given: list[str], key: str) -> Column:
         out, types = [], []
         for t in texts:
             spans = finder.spans(t) if t else []
-            out.append(redact(t, spans, secret) if spans else None)
+            out.append(redact(t, spans, secret, dates) if spans or (dates and t) else None)
             types.append(sorted({k for _, _, k in spans}))
         return pd.DataFrame({"text": out, "types": types})
 
-    named = F.lit(bool(given)) if len(given) > 200 else F.array_max(F.transform(F.array(*[F.lit(g) for g in given]), lambda g: F.instr(text, g))) > 0 if given else F.lit(False)
-    return find.asNondeterministic()(F.when((F.length(text) > 0) & (text.rlike(GATE) | named), text))
+    passes = gate(text, given) | text.rlike(r"\p{Nd}") if dates else gate(text, given)
+    return find.asNondeterministic()(F.when((F.length(text) > 0) & passes, text))
 
 
-def with_pii(df: DataFrame, text: str, names: DataFrame, key: str = "heronlake") -> DataFrame:
+def with_pii(df: DataFrame, text: str, names: DataFrame, key: str, dates: bool = False) -> DataFrame:
     """``df`` with ``redacted`` and ``pii_types`` for the text column ``text``.
 
     Every row stays; null and blank texts come back as they are with no types; columns of those
-    two names that were there before are replaced. ``key`` is the secret of the pseudonyms.
+    two names that were there before are replaced. ``key`` is the secret of the pseudonyms, which the
+    caller keeps: with the same key equal values stay linked from run to run. ``dates`` also
+    moves dates by a keyed permutation of the days.
     """
-    got = df.drop("redacted", "pii_types").withColumn("_pii", pii_column(F.col(text), given_names(names), key))
+    got = df.drop("redacted", "pii_types").withColumn("_pii", pii_column(F.col(text), given_names(names), key, dates))
     return got.select("*", F.coalesce("_pii.text", text).alias("redacted"), F.coalesce("_pii.types", F.array().cast("array<string>")).alias("pii_types")).drop("_pii")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,7 +77,9 @@ def _pii_sources(spark: SparkSession, d: str) -> DataFrame:
     for name, key, text in parts:
         one = table(spark, d, name).select(F.lit(name).alias("src_table"), F.col(key).cast("string").alias("row_key"), F.col(text).alias("text"))
         out = one if out is None else out.unionAll(one)
-    return pii.with_pii(out, "text", table(spark, d, "given_name"))
+    # the secret comes from the session; without one a new one links values within this run only
+    key = spark.conf.get("spark.heronlake.pii.key", None) or secrets.token_hex(32)
+    return pii.with_pii(out, "text", table(spark, d, "given_name"), key)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
