@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,73 +39,72 @@ def word_windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap:
     return cut.select(key, (F.col("i") + 1).alias("chunk_id"), F.size(piece).alias("n_words"), F.array_join(piece, " ").alias("chunk"))
 
 
-def _tail(text: str, n: int) -> str:
-    """The last ``n`` characters from their first space on."""
-    part = text[-n:]
-    return part[part.find(" ") + 1 :] if " " in part else part
+def _overlapped(chunks: list[str], overlap: int) -> list[str]:
+    """Each chunk but the first behind the last ``overlap`` characters of the one before, from their first
+    blank on (unless they begin with it)."""
+
+    def tail(text: str) -> str:
+        part = text[-overlap:]
+        blank = part.find(" ")
+        return part[blank + 1 :] if blank > 0 else part
+
+    return chunks[:1] + [f"{tail(a)} {b}" for a, b in zip(chunks, chunks[1:])] if overlap else chunks
+
+
+def _packed(parts: Iterable[str], size: int, blank: int) -> Iterator[tuple[str, bool]]:
+    """Parts joined by blanks as long as they fit, and whether a line is the last one; ``blank`` is what the
+    joining blank counts."""
+    now = ""
+    for part in parts:
+        if now and len(now) + len(part) + blank > size:
+            yield now, False
+            now = part
+        else:
+            now = f"{now} {part}" if now else part
+    yield now, True
 
 
 def sentence_chunks_of(text: str, size: int, least: int = SENTENCE_LEAST, overlap: int = SENTENCE_OVERLAP) -> list[str]:
-    """Sentences packed greedily up to ``size``; longer ones by words; a last chunk below ``least`` is
-    dropped; each chunk but the first begins with the end of the one before."""
-    text = text.strip()
+    """Sentences packed greedily up to ``size``, the joining blank not counted; of longer ones the words
+    are packed (there it counts), and the last of these lines goes on with the next sentences. A last
+    chunk below ``least`` is dropped; each chunk but the first begins with the end of the one before."""
     if len(text) <= size:
-        return [text] if len(text) >= least else []
-    units: list[str] = []
+        return [text] if text and len(text) >= least else []
+    chunks, now = [], ""
     for s in re.split(r"(?<=[.!?])\s+", text):
-        if len(s) <= size:
-            units.append(s)
+        if len(now) + len(s) <= size:
+            now = f"{now} {s}" if now else s
             continue
-        line = ""
-        for w in s.split():
-            if line and len(line) + 1 + len(w) > size:
-                units.append(line)
-                line = w
-            else:
-                line = f"{line} {w}".strip()
-        units.append(line)
-    chunks, now = [], ""
-    for u in filter(None, units):
-        if now and len(now) + 1 + len(u) > size:
-            chunks.append(now)
-            now = u
-        else:
-            now = f"{now} {u}".strip()
+        if now:
+            chunks.append(now.strip())
+        now = s
+        if len(s) > size:
+            for line, last in _packed(s.split(), size, 1):
+                if last:
+                    now = line
+                elif line:
+                    chunks.append(line.strip())
     if len(now) >= least:
-        chunks.append(now)
-    return [c if not i else f"{_tail(chunks[i - 1], overlap)} {c}" for i, c in enumerate(chunks)]
-
-
-def recursive_chunks_of(text: str, size: int, least: int = RECURSIVE_LEAST, overlap: int = RECURSIVE_OVERLAP) -> list[str]:
-    """Split at the coarsest separator that is there, longer parts again by finer ones, short
-    neighbours joined; chunks below ``least`` are dropped and each begins with the end of the last."""
-
-    def split(t: str, level: int) -> list[str]:
-        if len(t) <= size:
-            return [t]
-        while level < len(SEPARATORS) - 1 and SEPARATORS[level] not in t:
-            level += 1
-        sep = SEPARATORS[level]
-        if not sep:
-            return [t[i : i + size] for i in range(0, len(t), size)]
-        parts = [p + sep if i < t.count(sep) else p for i, p in enumerate(t.split(sep))]
-        out, now = [], ""
-        for p in parts:
-            if len(now) + len(p) <= size:
-                now += p
-                continue
-            if now:
-                out.append(now)
-            now = ""
-            if len(p) > size:
-                out += split(p, level + 1)
-            else:
-                now = p
-        return out + [now] if now else out
-
-    chunks = [c.strip() for c in split(text.strip(), 0)]
-    chunks = [c for c in chunks if len(c) >= least] or ([text.strip()] if text.strip() else [])
-    return [c if not i else f"{_tail(chunks[i - 1], overlap)} {c}" for i, c in enumerate(chunks)]
+        chunks.append(now.strip())
+    return _overlapped(chunks, overlap)
+
+
+def recursive_chunks_of(text: str, size: int, least: int = RECURSIVE_LEAST, overlap: int = RECURSIVE_OVERLAP, separators: Sequence[str] = SEPARATORS) -> list[str]:
+    """Split at the coarsest separator that is there; parts above ``size`` again by finer ones; then, at
+    every level, neighbours joined up to ``size``, lines below ``least`` dropped, and each line begun
+    with the end of the last one. Separators that show stay with the part before them."""
+    if not text:
+        return []
+    level = next(i for i, sep in enumerate(separators) if not sep or sep in text)
+    sep, finer = separators[level], separators[level + 1 :]
+    if not sep:
+        return [text[i : i + size] for i in range(0, len(text), size)]
+    *front, last = text.split(sep)
+    shown = sep if sep.strip() else ""
+    parts: list[str] = []
+    for part in (p.strip() for p in [*(f + shown for f in front), last]):
+        parts += recursive_chunks_of(part, size, least, overlap, finer) if len(part) > size else [part] if part else []
+    return _overlapped([line for line, _ in _packed(parts, size, 1) if len(line) >= least], overlap)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
+
+#: Range buckets of a percentile; the one that holds the wanted place is looked at value by value.
+BUCKETS = 4096
+
+
+def values_at(values: DataFrame, group: str, value: str, places: Callable[[Column], list[Column]]) -> DataFrame:
+    """The values at given places (from 1) in the order of each group: ``group, place_no, value``.
+
+    ``places`` gives the wanted places from a group's count. Values are counted by ranges of equal
+    width between a group's least and largest; running counts over the ranges tell which ones hold a
+    wanted place, and only the values of those are counted one by one. Heavy groups stay spread
+    over tasks, and no task holds a group's values.
+    """
+    v = cut(values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")))
+    ends = v.groupBy("g").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
+    width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(F.lit(0.0))
+    # groups are few; a join by broadcast is left to the optimiser, which knows their size
+    placed = v.join(ends.withColumnRenamed("g", "g2"), F.col("g").eqNullSafe(F.col("g2"))).select("g", "v", F.least(F.lit(BUCKETS - 1), F.floor(width * BUCKETS)).cast("int").alias("b"))
+    counts = placed.groupBy("g", "b").agg(F.count(F.lit(1)).alias("c"))
+    before = (F.sum("c").over(Window.partitionBy("g").orderBy("b")) - F.col("c")).alias("before")  # at most BUCKETS rows of a group
+    wanted = ends.select(F.col("g").alias("g2"), F.posexplode(F.array(*places(F.col("n")))).alias("place_no", "place"))
+    held = counts.select("g", "b", "c", before).join(wanted, F.col("g").eqNullSafe(F.col("g2"))).where((F.col("before") < F.col("place")) & (F.col("before") + F.col("c") >= F.col("place"))).select(F.col("g").alias("g2"), F.col("b").alias("b2"), "before", "place_no", "place")
+    inside = placed.join(held, F.col("g").eqNullSafe(F.col("g2")) & (F.col("b") == F.col("b2"))).groupBy("g", "place_no", "place", "before", "v").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.col("before") + F.sum("c").over(Window.partitionBy("g", "place_no").orderBy("v"))
+    return inside.withColumn("upto", upto).where((F.col("upto") >= F.col("place")) & (F.col("upto") - F.col("c") < F.col("place"))).select(F.col("g").alias(group), "place_no", F.col("v").alias("value"))
+
+
+def percentiles(values: DataFrame, group: str, value: str, shares: Sequence[float]) -> DataFrame:
+    """Interpolated percentiles of each group: ``group`` and an array ``p`` in the order of ``shares``."""
+    at = [lambda n, q=q: (n - 1) * q for q in shares]
+    both = lambda n: [x for f in at for x in (F.floor(f(n)).cast("long") + 1, F.ceil(f(n)).cast("long") + 1)]
+    sizes = values.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("n"))
+    found = values_at(values, group, value, both).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("place_no", "value"))).alias("m"))
+    weight = lambda i: at[i](F.col("n")) - F.floor(at[i](F.col("n")))
+    each = [F.col("m")[2 * i] + (F.col("m")[2 * i + 1] - F.col("m")[2 * i]) * weight(i) for i in range(len(at))]
+    return found.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).select(group, F.array(*each).alias("p"))
+
 
 def ranking_metrics(hits: DataFrame, relevant: DataFrame, k: int = 10, empty: float | None = 0.0) -> DataFrame:
     """Per query: precision, recall, hit, reciprocal rank and NDCG at ``k``.
@@ -81,7 +120,7 @@ def overlap_share(a: Column, b: Column) -> Column:
 
 def platt(scored: DataFrame, score: str, label: str, rounds: int = 25) -> DataFrame:
     """Two-parameter logistic fit by Newton steps; each step is one aggregation over all rows."""
-    d = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
+    d = cut(scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y")))  # what leads to it runs once
     a, b = 1.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))
@@ -105,15 +144,21 @@ def bootstrap_interval(values: DataFrame, value: str, replicates: int = 1000, se
 
     ``values``: ``row_key`` and the value. One row out; an empty table gives nulls.
     """
-    d = values.where(F.col(value).isNotNull()).select(F.col("row_key").cast("string").alias("k"), F.col(value).cast("double").alias("v"))
+    d = values.where(F.col(value).isNotNull()).select(F.xxhash64(F.col("row_key").cast("string"), F.lit(seed)).alias("k"), F.col(value).cast("double").alias("v"))
+    below = np.cumsum([math.exp(-1.0) / math.factorial(i) for i in range(16)])[:-1]
 
     def draw(batches):
         sums, weights = np.zeros(replicates), np.zeros(replicates)
+        turn = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for pdf in batches:
-            for k, v in zip(pdf.k, pdf.v):
-                w = np.random.default_rng([seed, *k.encode()]).poisson(1.0, replicates)
-                sums += w * v
-                weights += w
+            keys, v = pdf.k.to_numpy().astype(np.uint64), pdf.v.to_numpy()
+            for i in range(0, len(keys), 512):  # a block of rows by all replicates
+                z = keys[i : i + 512, None] + turn
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+                w = np.searchsorted(below, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53).astype(float)
+                sums += v[i : i + 512] @ w
+                weights += w.sum(axis=0)
         yield pd.DataFrame({"r": range(replicates), "s": sums, "w": weights})
 
     per = d.mapInPandas(draw, T.StructType([T.StructField("r", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("w", T.DoubleType())])).groupBy("r").agg(F.sum("s").alias("s"), F.sum("w").alias("w"))

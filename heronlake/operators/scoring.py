@@ -7,15 +7,31 @@ from pyspark.sql import functions as F
 
 from .evaluation import overlap_share
 
-# Words that carry no content in overlap tests.
-STOP_WORDS = ("about", "after", "also", "been", "before", "being", "could", "does", "during", "from", "have", "into", "more", "most", "other", "over", "should", "some", "such", "than", "that", "their", "them", "then", "there", "these", "they", "this", "those", "under", "until", "very", "what", "when", "where", "which", "while", "with", "would", "your")
-# Words of denial in a sentence.
-DENIALS = r"\b(not|no|never|without|cannot|none)\b"
+# Words that carry no content in overlap tests; words of denial are none of them.
+STOP_WORDS = (
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "must", "can",
+    "of", "in", "on", "at", "to", "for", "by", "with", "from", "into",
+    "this", "that", "these", "those", "it", "its",
+    "and", "or", "but", "so", "yet",
+    "he", "she", "they", "we", "you", "i", "me", "him", "her", "us",
+    "his", "their", "our", "your", "my",
+    "what", "which", "who", "whom", "when", "where", "why", "how",
+    "all", "any", "both", "each", "few", "more", "most", "other",
+    "some", "such", "only", "same", "than", "too", "very",
+    "just", "also", "about", "above", "after", "before", "between",
+    "during", "through", "over", "under", "again", "then", "here",
+    "there", "once", "if", "as", "up", "out", "because", "while",
+    "aren't", "won't",
+)
+# Words of denial, as they stand between blanks.
+DENIALS = ("not", "no", "never", "neither", "nor", "cannot", "can't", "don't", "doesn't", "isn't", "aren't", "won't", "without")
 
 
 def key_terms(text: Column) -> Column:
-    """Distinct ASCII words of more than three letters that are no stop words."""
-    w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9_]{4,})"), F.lit(1))
+    """Distinct words between blanks, in small letters, of more than three characters that are no stop words."""
+    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda x: F.length(x) > 3)
     return F.array_except(F.array_distinct(w), F.array(*[F.lit(s) for s in STOP_WORDS]))
 
 
@@ -36,9 +52,9 @@ def retrieval_confidence(scores: Column) -> Column:
 
 
 def fast_confidence(mean: Column, top: Column) -> tuple[Column, Column]:
-    """Score to three places, and the level of the unrounded score; without scores the level is low."""
+    """Score to six places, and the level of the unrounded score; without scores the level is low."""
     score = 0.4 * mean + 0.6 * top
-    return F.round(score, 3), F.when(score >= 0.65, "high").when(score >= 0.35, "medium").otherwise("low")
+    return F.round(score, 6), F.when(score >= 0.65, "high").when(score >= 0.35, "medium").otherwise("low")
 
 
 def answerable(scores: Column, floor: float = 0.01) -> Column:
@@ -63,13 +79,19 @@ def attribution(answers: DataFrame, key: str, answer: str, context: str, least:
     return best.select(key, "claim_no", "claim", F.col("best.evidence").alias("evidence"), F.coalesce("best.overlap", F.lit(0.0)).alias("overlap"), (F.coalesce("best.overlap", F.lit(0.0)) >= least).alias("supported"))
 
 
+def coverage(attributed: DataFrame, key: str) -> DataFrame:
+    """Share of each answer's claims that are supported: ``key, claims, coverage``."""
+    return attributed.groupBy(key).agg(F.count(F.lit(1)).alias("claims"), F.round(F.avg(F.col("supported").cast("double")), 6).alias("coverage"))
+
+
 def contradictions(answers: DataFrame, key: str, answer: str, least: float = 0.5) -> DataFrame:
-    """Pairs of sentences of one answer that share most words while only one of them denies."""
-    s = answers.where(F.col(answer).isNotNull()).select(key, F.posexplode(sentences(F.col(answer))).alias("pos", "s")).withColumns({"t": key_terms(F.col("s")), "no": F.lower("s").rlike(DENIALS)})
-    a, b = s.select(key, F.col("pos").alias("i"), F.col("s").alias("first"), F.col("t").alias("ta"), F.col("no").alias("na")), s.select(key, F.col("pos").alias("j"), F.col("s").alias("second"), F.col("t").alias("tb"), F.col("no").alias("nb"))
-    both = a.join(b, key).where((F.col("i") < F.col("j")) & (F.col("na") != F.col("nb")))
-    share = F.size(F.array_intersect("ta", "tb")) / F.greatest(F.lit(1), F.least(F.size("ta"), F.size("tb")))
-    return both.withColumn("overlap", F.round(share, 6)).where(F.col("overlap") > least).select(key, "i", "j", "first", "second", "overlap")
+    """Pairs of sentences of one answer that share more than ``least`` of the larger set of key terms while
+    only one of them denies. Sentences of any length count; the pairs are made within the row."""
+    parts = F.transform(F.split(F.col(answer), r"(?<=[.!?])\s+"), lambda x: F.struct(x.alias("s"), key_terms(x).alias("t"), F.arrays_overlap(F.split(F.lower(x), r"\s+"), F.array(*[F.lit(w) for w in DENIALS])).alias("no")))
+    s = answers.where(F.col(answer).isNotNull()).select(key, parts.alias("p")).where(F.size("p") > 1)
+    s = s.select(key, "p", F.posexplode("p").alias("i", "a")).select(key, "i", "a", F.posexplode("p").alias("j", "b")).where((F.col("i") < F.col("j")) & (F.col("a.no") != F.col("b.no")))
+    share = F.size(F.array_intersect("a.t", "b.t")) / F.greatest(F.lit(1), F.size("a.t"), F.size("b.t"))
+    return s.withColumn("overlap", F.round(share, 6)).where(share > least).select(key, "i", "j", F.col("a.s").alias("first"), F.col("b.s").alias("second"), "overlap")
 
 
 def merge_spans(spans: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:

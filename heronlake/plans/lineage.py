@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own
-    only where the session names none (tests on one machine)."""
+    """The shared folder named by ``spark.checkpoint.dir``. Where the session names none, a folder of
+    our own on a local master (tests on one machine), and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
-    folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="heronlake-ckpt-")
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="heronlake-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 

@@ -52,10 +52,8 @@ def low_rated(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT feedback_id, max(received_at) AS received_at, count(*) AS versions FROM user_feedback WHERE feedback_id IS NOT NULL GROUP BY feedback_id""")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last line of each feedback id and how many there were."""
-    from pyspark.sql import Window
-
-    f = table(spark, d, "user_feedback").withColumn("versions", F.count(F.lit(1)).over(Window.partitionBy("feedback_id")))
-    return B.latest(f, "feedback_id", [F.col("received_at")]).select("feedback_id", "received_at", "versions")
+    f = table(spark, d, "user_feedback").where("feedback_id is not null")
+    return f.groupBy("feedback_id").agg(F.max("received_at").alias("received_at"), F.count(F.lit(1)).alias("versions"))
 
 
 @query("SELECT feedback_id, question_id, rating FROM user_feedback WHERE rating >= 4 AND was_helpful AND was_accurate")

@@ -141,17 +141,15 @@ def mmr_diversity(spark: SparkSession, d: str) -> DataFrame:
     return R.diverse(hits.select("query_id", "doc_id", "score", "embedding"), 5)
 
 
-@query(f"""WITH {_DENSE_SQL} SELECT DISTINCT doc_id AS vec_id, e.label, list_transform(e.embedding, lambda x: round(x::DOUBLE, 4))[1:4] AS head FROM dense JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 15""")
+@query(f"""WITH {_DENSE_SQL} SELECT DISTINCT doc_id AS vec_id, e.label, list_transform(e.embedding, lambda x: round(x::DOUBLE, 6)) AS embedding FROM dense JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 15""")
 def kb_subset(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors among the fifteen nearest of any question, for a small export."""
+    """Vectors among the fifteen nearest of any question, whole and rounded to six places, for a small export."""
     v = table(spark, d, "embeddings")
     ids = R.dense(v, _asked_vectors(spark, d), k=15).select(F.col("doc_id").alias("vec_id")).distinct()
-    return v.join(ids, "vec_id", "left_semi").select("vec_id", "label", F.slice(F.transform("embedding", lambda x: F.round(x.cast("double"), 4)), 1, 4).alias("head"))
+    return v.join(ids, "vec_id", "left_semi").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
 @query(f"""WITH {_DENSE_SQL} SELECT DISTINCT doc_id AS vec_id, e.label, list_transform(e.embedding, lambda x: round(x::DOUBLE, 6)) AS embedding FROM dense JOIN embeddings e ON e.vec_id = doc_id WHERE rank <= 15""")
 def kb_subset_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The export itself: each vector of ``kb_subset`` whole, rounded to six places."""
-    v = table(spark, d, "embeddings")
-    ids = R.dense(v, _asked_vectors(spark, d), k=15).select(F.col("doc_id").alias("vec_id")).distinct()
-    return v.join(ids, "vec_id", "left_semi").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    """The same rows by the name that they had before."""
+    return kb_subset(spark, d)

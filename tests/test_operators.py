@@ -106,7 +106,7 @@ def test_rewards(spark):
 
 
 def test_chunkers():
-    assert chunking.recursive_chunks_of("Short text.", 1024) == ["Short text."]
+    assert chunking.recursive_chunks_of("Short text.", 1024, 5, 0) == ["Short text."] and chunking.recursive_chunks_of("Short text.", 1024) == []
     text = " ".join(f"Sentence number {i} says a little." for i in range(60))
     for f, size in ((chunking.sentence_chunks_of, 200), (chunking.recursive_chunks_of, 300)):
         parts = f(text, size)
@@ -237,3 +237,117 @@ def test_readers(spark, tmp_path):
     readers.export(old, str(tmp_path / "out"), "csv")
     drugs = spark.createDataFrame([("D", "d", "c", "u", "s", "o", "i", "w")], "drug_name string, generic_name string, drug_class string, uses string, side_effects string, dosage string, interactions string, warnings string")
     assert readers.drug_documents(drugs).count() == 4
+
+
+def test_sentence_chunks_by_hand():
+    """The joining blank is not counted, a long sentence goes on with the next one, the last short chunk is lost."""
+    f = lambda t, size, least=1, overlap=0: chunking.sentence_chunks_of(t, size, least, overlap)
+    assert f("Aaaa. Bbbb. Cc.", 10) == ["Aaaa. Bbbb.", "Cc."]
+    assert f("Aaaa. Bbbb. Cc.", 10, 4) == ["Aaaa. Bbbb."]
+    assert f("one two three four. Go. Stop here now.", 9) == ["one two", "three", "four. Go.", "Stop here", "now."]
+    assert f("Aaaa. Bbbb. Cc dd.", 10, 1, 7) == ["Aaaa. Bbbb.", "Bbbb. Cc dd."]
+    assert f("", 10) == [] and f("ab", 10, 3) == []
+
+
+def test_recursive_chunks_by_hand():
+    """Short lines are dropped and the end of the line before is put in front at every level."""
+    f = chunking.recursive_chunks_of
+    assert f("aa bb cc dd", 5, 1, 0) == ["aa bb", "cc dd"]
+    assert f("aa bb cc dd ee", 5, 3, 0) == ["aa bb", "cc dd"]
+    assert f("aa bb cc dd", 5, 1, 2) == ["aa bb", "bb cc dd"]
+    assert f("First. Second one\n\nThird", 12, 1, 0) == ["First.", "Second one", "Third"]
+    assert f("xxxxxxx", 3, 1, 0) == ["xxxxxxx"[:3], "xxx", "x"] and f("", 5) == []
+    # within the paragraph the overlap is added, and once more between the joined lines above it
+    assert f("aa bb cc dd\n\nee", 5, 1, 2) == ["aa bb", "bb bb cc dd", "dd ee"]
+
+
+@pytest.mark.parametrize("shape", ["even", "skewed", "equal"])
+def test_percentiles_by_ranges(spark, shape):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g, n in (("a", 501), ("b", 1), ("c", 2), (None, 37)) for x in {"even": rng.uniform(-5, 5, n), "skewed": np.exp(rng.normal(0, 6, n)), "equal": np.full(n, 2.0)}[shape]]
+    df = spark.createDataFrame([*rows, ("a", None), ("empty", None)], "g string, v double")
+    got = {r.g: r.p for r in evaluation.percentiles(df, "g", "v", (0.0, 0.5, 0.95, 1.0)).collect()}
+    want = {g: np.quantile([v for k, v in rows if k == g], (0.0, 0.5, 0.95, 1.0)) for g in {k for k, _ in rows}}
+    assert got.keys() == want.keys() and all(np.allclose(got[g], want[g], rtol=1e-12) for g in want)
+    nth = {r.g: r.value for r in evaluation.values_at(df, "g", "v", lambda n: [n]).collect()}
+    assert nth == {g: max(v for k, v in rows if k == g) for g in want}
+
+
+def test_dense_in_turns(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8)).round(2)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(900, None)], "vec_id long, embedding array<double>").repartition(5)
+    asked = df.where("vec_id < 40 or vec_id = 900").withColumnRenamed("vec_id", "query_id")
+    want = {(q, i): r + 1 for q in range(40) for r, i in enumerate(sorted(range(300), key=lambda i: (-round(float(v[q] @ v[i]), 6), i))[:5])}
+    for values in (10**6, 70):
+        monkeypatch.setattr(retrieval, "QUESTION_VALUES", values)
+        monkeypatch.setattr(retrieval, "BLOCK_VECTORS", 16)
+        assert {(r.query_id, r.doc_id): r["rank"] for r in retrieval.dense(df, asked, k=5).collect()} == want
+    assert retrieval.dense(df, asked.limit(0)).count() == 0
+
+
+def test_diverse_hits(spark):
+    rows = [(1, 10, 0.9, [1.0, 0.0]), (1, 11, 0.89, [1.0, 0.01]), (1, 12, 0.5, [0.0, 1.0]), (1, 13, 0.1, [-1.0, 0.0]), (2, 10, 0.2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "query_id int, doc_id int, score double, embedding array<double>")
+    got = sorted((r.query_id, r.position, r.doc_id) for r in retrieval.diverse(df, 3).collect())
+    assert got == [(1, 1, 10), (1, 2, 13), (1, 3, 12), (2, 1, 10)]
+
+
+def test_rouge_against_all_subsequences(spark):
+    import itertools
+
+    texts = ["a b c d", "b d a c", "a a b", "", "c", "d c b a"]
+    pairs = list(itertools.product(texts, texts)) + [(None, "a")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = {r.i: r.f for r in df.select("i", evaluation.rouge_l(F.col("a"), F.col("b")).alias("f")).collect()}
+    for i, (a, b) in enumerate(pairs):
+        x, y = (a or "").split(), b.split()
+        subs = lambda w: {s for n in range(len(w) + 1) for s in itertools.combinations(w, n)}
+        n = max(map(len, subs(x) & subs(y)))
+        assert got[i] == (round(2 * n / (len(x) + len(y)), 6) if n else 0.0)
+
+
+def test_bootstrap_interval_holds_the_mean(spark):
+    df = spark.range(2000).selectExpr("id as row_key", "cast(id % 10 as double) as v").union(spark.sql("select 5000L, cast(null as double)"))
+    r, again = (evaluation.bootstrap_interval(df, "v", 300).first() for _ in range(2))
+    assert r == again and r.n == 2000 and r.mean == 4.5 and 4.3 < r.low < 4.5 < r.high < 4.7
+    assert 2 * 1.96 * 2.872 / 2000**0.5 == pytest.approx(r.high - r.low, rel=0.25)
+
+
+def test_upsert_needs_an_order_and_survives_maps(spark):
+    new = spark.createDataFrame([("a", 1, {"x": "1"}), ("a", 3, {"x": "3"}), ("a", 2, None)], "k string, _order int, m map<string,string>")
+    assert [(r.k, r.m) for r in readers.upsert(None, new, "k").collect()] == [("a", {"x": "3"})]
+    with pytest.raises(ValueError):
+        readers.upsert(None, new.drop("_order"), "k")
+    store = spark.createDataFrame([("1", "s", "text", 0), ("2", "s", "text", 0), ("3", "s", None, 1)], "id string, source string, content string, chunk_id int")
+    made = readers.rekeyed(store, "source", "content", "chunk_id")
+    assert made.columns == store.columns and made.count() == 2 and not {"1", "2", "3"} & {r.id for r in made.collect()}
+
+
+def test_contradictions_by_the_larger_set(spark):
+    rows = [(1, "Rest helps. Rest never helps at all because people with severe attacks need other things."), (2, "Take aspirin daily tablets. Do not take aspirin daily tablets."), (3, "Fine."), (4, None)]
+    got = [r.k for r in scoring.contradictions(spark.createDataFrame(rows, "k int, a string"), "k", "a").collect()]
+    assert got == [2]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from heronlake.plans.lineage import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, name):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(Conf)
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
