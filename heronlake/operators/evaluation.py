@@ -112,6 +112,26 @@ def keyword_coverage(text: Column, keywords: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(1.0)).otherwise(F.size(F.filter(keywords, lambda k: F.contains(low, F.lower(k)))) / n)
 
 
+def keyword_words(text: Column, keywords: Column) -> Column:
+    """Share of keywords that stand in the text as whole words, in any case; 1 without keywords."""
+    n = F.size(keywords)
+    low = F.lower(F.coalesce(text, F.lit("")))
+    pattern = lambda k: F.concat(F.lit(r"\b"), F.regexp_replace(F.lower(k), r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"\b"))
+    return F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(1.0)).otherwise(F.size(F.filter(keywords, lambda k: F.regexp_like(low, pattern(k)))) / n)
+
+
+def ndcg_of_retrieved(hits: DataFrame, k: int = 10) -> DataFrame:
+    """NDCG with gains 2^r - 1 and the ideal order of the hits themselves: ``query_id, ndcg``.
+
+    ``hits``: ``query_id, rank, grade``; at most ``k`` of a query are looked at.
+    """
+    top = hits.where(F.col("rank") <= k)
+    best = top.withColumn("_ideal", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade"), "rank")))
+    gain = F.pow(F.lit(2.0), F.col("grade")) - 1
+    by = best.groupBy("query_id").agg(F.sum(gain / F.log2(F.col("rank") + 1)).alias("dcg"), F.sum(gain / F.log2(F.col("_ideal") + 1)).alias("ideal"))
+    return by.select("query_id", F.round(F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(F.lit(0.0)), 6).alias("ndcg"))
+
+
 def overlap_share(a: Column, b: Column) -> Column:
     """Share of the distinct words of ``a`` that ``b`` has; null where ``a`` has none."""
     d = F.array_distinct(a)

@@ -53,6 +53,29 @@ def reward_by_response(feedback: DataFrame) -> DataFrame:
     )
 
 
+def first_texts(feedback: DataFrame, n: int = 5) -> DataFrame:
+    """The first ``n`` texts of each response by arrival: ``response_id, ids, texts``; the limit runs before
+    the lists are made, so that no list grows."""
+    f = feedback.select(response_id(feedback).alias("response_id"), "feedback_id", "feedback_text", "received_at").where("response_id is not null and feedback_text <> ''")
+    w = Window.partitionBy("response_id").orderBy("received_at", "feedback_id", "feedback_text")
+    few = f.withColumn("k", F.row_number().over(w)).where(F.col("k") <= n)
+    lists = few.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("feedback_id").alias("id"), F.col("feedback_text").alias("text")))).alias("l"))
+    return lists.select("response_id", F.col("l.id").alias("ids"), F.col("l.text").alias("texts"))
+
+
+def event_rows(feedback: DataFrame, trajectories: DataFrame, train_share: float = 0.9) -> DataFrame:
+    """One training row for each feedback: its reward, rating and flags (missing ones follow the rating,
+    safety counts as given), whether its response has a trajectory, and a split by its own id."""
+    rid = response_id(feedback)
+    rating = clamped_rating(F.coalesce("rating", F.lit(3)))
+    flag = lambda c, default: F.coalesce(F.col(c), default).cast("double")
+    sample = F.coalesce(blank_to_null(F.col("feedback_id")), rid)
+    rows = feedback.select(sample.alias("sample_id"), rid.alias("response_id"), "received_at", reward(feedback).alias("reward"), rating.alias("rating"), flag("was_helpful", rating >= 4).alias("helpful"), flag("was_accurate", rating >= 4).alias("accurate"), flag("was_safe", F.lit(True)).alias("safe")).where("response_id is not null")
+    known = trajectories.select(F.lower(blank_to_null(F.col("response_id"))).alias("_r")).where("_r is not null").distinct()
+    out = rows.join(known, F.col("response_id") == F.col("_r"), "left").withColumn("has_trajectory", F.col("_r").isNotNull()).drop("_r")
+    return out.withColumn("split", F.when(hash_share(F.col("sample_id")) < train_share, F.lit("train")).otherwise(F.lit("val")))
+
+
 def training_rows(feedback: DataFrame, trajectories: DataFrame, unmatched: bool = False, train_share: float = 0.9) -> DataFrame:
     """Aggregated feedback joined with the last trajectory of its response, flattened, with a split from
     the hash of the response id. The feedback is aggregated before the join."""

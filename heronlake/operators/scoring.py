@@ -63,6 +63,23 @@ def answerable(scores: Column, floor: float = 0.01) -> Column:
     return F.coalesce(F.size(F.filter(scores, lambda x: x >= limit)), F.lit(0))
 
 
+def answerable_hits(hits: DataFrame, questions: DataFrame, text: str, floor: float = 0.01, ratio: float = 0.5, covered: float = 0.3, least: int = 1) -> DataFrame:
+    """Whether each question can be answered from its hits: ``query_id, kept, covering, answerable``.
+
+    ``hits``: ``query_id, score`` and the text; a hit is kept at or above the floor and ``ratio`` of the
+    best score; at least ``least`` of them, and one that has ``covered`` of the question's words of
+    more than three letters, make it answerable. Questions without such words need no cover.
+    """
+    words = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda x: F.length(x) > 3)
+    asked = questions.select("query_id", F.array_except(words(F.col("query")), F.array(*[F.lit(w) for w in (*STOP_WORDS, *DENIALS)])).alias("q"))
+    top = hits.groupBy("query_id").agg(F.max("score").alias("top"))
+    kept = hits.join(top, "query_id").where(F.col("score") >= F.greatest(F.lit(floor), ratio * F.col("top")))
+    cover = F.when(F.size("q") > 0, F.size(F.array_intersect("q", words(F.col(text)))) / F.size("q")).otherwise(F.lit(1.0))
+    by = kept.join(asked, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(cover >= covered).alias("covering"))
+    z = lambda c: F.coalesce(c, F.lit(0))
+    return questions.select("query_id").join(by, "query_id", "left").select("query_id", z("kept").alias("kept"), z("covering").alias("covering"), ((z("kept") >= least) & (z("covering") > 0)).alias("answerable"))
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: F.length(s) >= 20)
 

@@ -18,6 +18,17 @@ def last_turns(turns: DataFrame, session: str, order: list[str], n: int = 3) ->
     return kept.withColumn("turn", F.row_number().over(Window.partitionBy(session).orderBy(F.desc("_back")))).drop("_back")
 
 
+def context_windows(turns: DataFrame, session: str, question: str, answer: str, order: list[str], n: int = 3, preview: int = 200, budget: int = 2000) -> DataFrame:
+    """The text of each session's last ``n`` turns, answers cut after ``preview`` characters, up to the turn
+    that would go beyond ``budget``: ``session, context, turns``. At most ``n`` rows of a session meet."""
+    kept = last_turns(turns, session, order, n)
+    said = F.when(F.length(answer) > preview, F.concat(F.substring(answer, 1, preview), F.lit("..."))).otherwise(F.col(answer))
+    text = F.concat(F.lit("User: "), F.coalesce(F.col(question), F.lit("")), F.lit("\nAssistant: "), F.coalesce(said, F.lit("")))
+    upto = F.sum(F.length("_text")).over(Window.partitionBy(session).orderBy("turn"))
+    fits = kept.withColumn("_text", text).withColumn("_upto", upto).where(F.col("_upto") <= budget)
+    return fits.groupBy(session).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "_text"))), lambda x: x["_text"]), "\n\n").alias("context"), F.count(F.lit(1)).alias("turns"))
+
+
 def recent_questions(turns: DataFrame, question: str, order: list[str], n: int = 20) -> DataFrame:
     """The ``n`` questions asked last, each once; the partial limit runs before the final sort."""
     w = Window.partitionBy(question).orderBy(*[F.desc(c) for c in order])

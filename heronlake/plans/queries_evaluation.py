@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -106,9 +106,23 @@ def cohen_kappa(spark: SparkSession, d: str) -> DataFrame:
     return E.kappa(table(spark, d, "user_feedback"), "was_helpful", "was_accurate")
 
 
-@query("""SELECT id, round(CASE WHEN coalesce(len(expected_keywords), 0) = 0 THEN 1.0 ELSE len(list_filter(expected_keywords, lambda k: contains(lower(coalesce(reference_answer, '')), lower(k))))::DOUBLE / len(expected_keywords) END, 6) AS coverage FROM test_set_eval30""")
+_KEYWORDS = """k AS (SELECT id, response, list_distinct(regexp_extract_all(lower(coalesce(reference, '')), '([a-z]{6,})', 1)) AS k FROM ragas_standard_tinyllama_10)"""
+
+
+def _keywords() -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("reference"), F.lit(""))), F.lit("([a-z]{6,})"), F.lit(1)))
+
+
+@query(f"""WITH {_KEYWORDS} SELECT id, round(CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: contains(lower(coalesce(response, '')), x)))::DOUBLE / len(k) END, 6) AS coverage FROM k""")
 def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "test_set_eval30").select("id", F.round(E.keyword_coverage(F.col("reference_answer"), F.col("expected_keywords")), 6).alias("coverage"))
+    """Share of the reference's longer words that the response contains."""
+    return table(spark, d, "ragas_standard_tinyllama_10").select("id", F.round(E.keyword_coverage(F.col("response"), _keywords()), 6).alias("coverage"))
+
+
+@query(rf"""WITH {_KEYWORDS} SELECT id, round(CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: regexp_matches(lower(coalesce(response, '')), '\b' || x || '\b')))::DOUBLE / len(k) END, 6) AS coverage FROM k""")
+def keyword_words(spark: SparkSession, d: str) -> DataFrame:
+    """The same, as whole words."""
+    return table(spark, d, "ragas_standard_tinyllama_10").select("id", F.round(E.keyword_words(F.col("response"), _keywords()), 6).alias("coverage"))
 
 
 @query("""UNPIVOT (SELECT context_precision, context_recall, rouge_fmeasure, exact_match FROM ragas_standard_tinyllama_10) ON * INTO NAME metric VALUE v""".join(("WITH u AS (", ") SELECT metric, count(v) AS n, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS largest, round(stddev_pop(v), 6) AS deviation FROM u WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY metric")))
@@ -132,14 +146,27 @@ def faithfulness(spark: SparkSession, d: str) -> DataFrame:
     return q.select("pair_id", F.round(E.overlap_share(words(F.lower("answer")), words(F.lower("context"))), 6).alias("faithfulness")).where("faithfulness is not null")
 
 
-@query(r"""WITH w AS (SELECT id, unnest(regexp_extract_all(lower(query), '([a-z]{4,})', 1)) AS word, generate_subscripts(regexp_extract_all(lower(query), '([a-z]{4,})', 1), 1) AS pos FROM test_set_eval30 WHERE query IS NOT NULL),
-  c AS (SELECT id, word, count(*) AS n, min(pos) AS f FROM w GROUP BY 1, 2)
-  SELECT id, word, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, f) AS place FROM c) WHERE place <= 20""")
+@query(r"""WITH w AS (SELECT chunk_pk, unnest(regexp_extract_all(lower(content), '([a-z]{4,})', 1)) AS word, generate_subscripts(regexp_extract_all(lower(content), '([a-z]{4,})', 1), 1) AS pos FROM kb_chunk WHERE content IS NOT NULL),
+  c AS (SELECT chunk_pk, word, count(*) AS n, min(pos) AS f FROM w GROUP BY 1, 2)
+  SELECT chunk_pk, word, n, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY chunk_pk ORDER BY n DESC, f) AS place FROM c) WHERE place <= 20""")
 def word_frequency(spark: SparkSession, d: str) -> DataFrame:
-    return E.frequent_words(table(spark, d, "test_set_eval30"), "id", "query", 20)
+    """The twenty most frequent longer words of each chunk."""
+    return E.frequent_words(table(spark, d, "kb_chunk"), "chunk_pk", "content", 20)
 
 
-@query("""SELECT source, coalesce(category, 'none') AS category, count(*) AS n, count(reference_answer) AS answered, round(avg(len(expected_keywords)), 6) AS keywords FROM test_set_eval30 GROUP BY CUBE (source, coalesce(category, 'none'))""")
+@query("""WITH t AS (SELECT source, category, reference_answer FROM test_set_eval30 UNION ALL SELECT source_dataset, category, reference FROM ragas_standard_tinyllama_10)
+  SELECT source, coalesce(category, 'none') AS category, count(*) AS n, count(reference_answer) AS answered, round(avg(length(reference_answer)), 6) AS characters FROM t GROUP BY CUBE (source, coalesce(category, 'none'))""")
 def test_set_profile(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "test_set_eval30").withColumn("category", F.coalesce("category", F.lit("none")))
-    return t.cube("source", "category").agg(F.count(F.lit(1)).alias("n"), F.count("reference_answer").alias("answered"), F.round(F.avg(F.size("expected_keywords")), 6).alias("keywords"))
+    """Held-out items and judged answers by source and category."""
+    judged = table(spark, d, "ragas_standard_tinyllama_10").select(F.col("source_dataset").alias("source"), "category", F.col("reference").alias("reference_answer"))
+    t = table(spark, d, "test_set_eval30").select("source", "category", "reference_answer").unionByName(judged).withColumn("category", F.coalesce("category", F.lit("none")))
+    return t.cube("source", "category").agg(F.count(F.lit(1)).alias("n"), F.count("reference_answer").alias("answered"), F.round(F.avg(F.length("reference_answer")), 6).alias("characters"))
+
+
+@query("""SELECT 'helpful' AS flag, count(*) AS n, round(corr(rating, was_helpful::INT), 6) AS r FROM user_feedback WHERE rating IS NOT NULL AND was_helpful IS NOT NULL
+  UNION ALL SELECT 'accurate', count(*), round(corr(rating, was_accurate::INT), 6) FROM user_feedback WHERE rating IS NOT NULL AND was_accurate IS NOT NULL
+  UNION ALL SELECT 'safe', count(*), round(corr(rating, was_safe::INT), 6) FROM user_feedback WHERE rating IS NOT NULL AND was_safe IS NOT NULL""")
+def rating_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Pearson's r of the rating and each flag, in one pass."""
+    f = table(spark, d, "user_feedback").select("rating", F.explode(F.create_map(F.lit("helpful"), "was_helpful", F.lit("accurate"), "was_accurate", F.lit("safe"), "was_safe")).alias("flag", "v")).where("rating is not null and v is not null")
+    return f.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr(F.col("rating").cast("double"), F.col("v").cast("double")), 6).alias("r"))

@@ -129,7 +129,8 @@ def decomposed_questions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def question_variants(spark: SparkSession, d: str) -> DataFrame:
     """Question and its variants: sanitised, abbreviations expanded, reformulated, decomposed."""
-    return table(spark, d, "test_set_eval30").where("query is not null").select("id", F.posexplode(rewrite.variants(F.col("query"))).alias("variant", "query"))
+    t = table(spark, d, "response_trajectory").where("question is not null")
+    return t.select("response_id", "received_at", F.posexplode(rewrite.variants(F.col("question"))).alias("variant", "query"))
 
 
 @query(r"""WITH x AS (SELECT response_id, received_at, lower(question) AS q, regexp_matches(question, '(?i)\b(what\s+is|what\s+are|define|explain|tell\s+me\s+about|symptoms\s+of|causes\s+of|treatment\s+for)\b') AS edu FROM response_trajectory WHERE question IS NOT NULL),

@@ -351,3 +351,30 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_equal_gains_go_to_the_later_hit(spark):
+    rows = [(1, 10, 0.5, [1.0, 0.0, 0.0]), (1, 11, 0.5, [0.0, 1.0, 0.0]), (1, 12, 0.5, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "query_id int, doc_id int, score double, embedding array<double>")
+    assert [r.doc_id for r in retrieval.diverse(df, 3).orderBy("position").collect()] == [12, 11, 10]
+
+
+def test_whole_search(spark):
+    docs = spark.createDataFrame([(i, f"gout diet number {i}" if i % 2 else f"how to make a drug of gout {i}", "en" if i < 8 else "de") for i in range(12)], "doc_id long, text string, lang string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(12)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, "gout diet", [1.0, 1.0])], "query_id long, query string, embedding array<double>")
+    got = retrieval.retrieve(docs, "doc_id", "text", vectors, asked, 6, F.col("lang") == "en", keep=("lang",)).orderBy("rank").collect()
+    assert len(got) == 6 and {r.lang for r in got} == {"en"} and [r.flagged for r in got] == sorted(r.flagged for r in got) and got[0].text.startswith("gout")
+    none = retrieval.retrieve(docs, "doc_id", "text", vectors, asked, 6, min_score=1.1)
+    assert none.count() == 0
+
+
+def test_keywords_as_words(spark):
+    f = lambda k: evaluation.keyword_words(F.lit("Take Aspirin 3.5 mg/day, not ibuprofens."), F.array(*[F.lit(x) for x in k]))
+    assert one(spark, f(["aspirin", "ibuprofen", "3.5", "mg/day"]), "") == 0.75
+
+
+def test_session_context(spark):
+    df = spark.createDataFrame([("s", i, f"q{i}", "a" * 300) for i in range(5)] + [("t", 1, "q", None)], "s string, n int, q string, a string")
+    got = {r.s: (r.context, r.turns) for r in sessions.context_windows(df, "s", "q", "a", ["n"], budget=500).collect()}
+    assert got["s"][1] == 2 and got["s"][0].startswith("User: q2\nAssistant: aaa") and got["s"][0].count("...") == 2 and got["t"] == ("User: q\nAssistant: ", 1)
