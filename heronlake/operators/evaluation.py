@@ -116,7 +116,7 @@ def keyword_words(text: Column, keywords: Column) -> Column:
     """Share of keywords that stand in the text as whole words, in any case; 1 without keywords."""
     n = F.size(keywords)
     low = F.lower(F.coalesce(text, F.lit("")))
-    pattern = lambda k: F.concat(F.lit(r"\b"), F.regexp_replace(F.lower(k), r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"\b"))
+    pattern = lambda k: F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.regexp_replace(F.lower(k), r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
     return F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit(1.0)).otherwise(F.size(F.filter(keywords, lambda k: F.regexp_like(low, pattern(k)))) / n)
 
 

@@ -119,7 +119,7 @@ def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ragas_standard_tinyllama_10").select("id", F.round(E.keyword_coverage(F.col("response"), _keywords()), 6).alias("coverage"))
 
 
-@query(rf"""WITH {_KEYWORDS} SELECT id, round(CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: regexp_matches(lower(coalesce(response, '')), '\b' || x || '\b')))::DOUBLE / len(k) END, 6) AS coverage FROM k""")
+@query(rf"""WITH {_KEYWORDS} SELECT id, round(CASE WHEN len(k) = 0 THEN 1.0 ELSE len(list_filter(k, lambda x: regexp_matches(lower(coalesce(response, '')), '(^|[^\p{{L}}\p{{N}}_])' || x || '([^\p{{L}}\p{{N}}_]|$)')))::DOUBLE / len(k) END, 6) AS coverage FROM k""")
 def keyword_words(spark: SparkSession, d: str) -> DataFrame:
     """The same, as whole words."""
     return table(spark, d, "ragas_standard_tinyllama_10").select("id", F.round(E.keyword_words(F.col("response"), _keywords()), 6).alias("coverage"))

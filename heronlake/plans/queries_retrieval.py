@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import COMPARISON_QUESTION, DEFINITION_QUESTION, DRUG_QUESTION, SYMPTOM_QUESTION
 from ..operators import retrieval as R
+from .ordered import running_sum
 from .registry import query, table
 
 #: Questions of a search are the rows whose id is divisible by this.
@@ -115,11 +116,10 @@ def score_normalize(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT parent_id, chunk_pk, flagged, row_number() OVER (PARTITION BY parent_id ORDER BY flagged, chunk_id, chunk_pk)::INT AS place FROM
   (SELECT *, coalesce(regexp_matches(lower(content), '\bhow\s+to\s+(?:make|synthesize|produce|create)\s+\w+\s+(?:drug|poison|explosive)') OR regexp_matches(lower(content), '\bself[- ]harm\b') OR regexp_matches(lower(content), '\b(?:illegal|illicit)\s+drug\s+(?:synthesis|recipe|formula)'), false) AS flagged FROM kb_chunk WHERE parent_id IS NOT NULL)""")
 def safety_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of a parent with flagged ones behind all others."""
-    from pyspark.sql import Window
-
-    k = table(spark, d, "kb_chunk").where("parent_id is not null").withColumn("flagged", R.is_flagged(F.col("content")))
-    return k.select("parent_id", "chunk_pk", "flagged", F.row_number().over(Window.partitionBy("parent_id").orderBy("flagged", "chunk_id", "chunk_pk")).alias("place"))
+    """Chunks of a parent with flagged ones behind all others; places by blocks of the order."""
+    k = table(spark, d, "kb_chunk").where("parent_id is not null").select("parent_id", "chunk_pk", "chunk_id", R.is_flagged(F.col("content")).alias("flagged"))
+    placed = running_sum(k, "parent_id", ["flagged", "chunk_id"], ["chunk_id", "chunk_pk"], F.lit(1), "place")
+    return placed.select("parent_id", "chunk_pk", "flagged", F.col("place").cast("int").alias("place"))
 
 
 @query(f"""WITH {_DENSE_SQL}, lists AS (SELECT q.label, doc_id, rank FROM dense JOIN embeddings q ON q.vec_id = query_id WHERE rank <= 20),

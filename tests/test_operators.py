@@ -378,3 +378,24 @@ def test_session_context(spark):
     df = spark.createDataFrame([("s", i, f"q{i}", "a" * 300) for i in range(5)] + [("t", 1, "q", None)], "s string, n int, q string, a string")
     got = {r.s: (r.context, r.turns) for r in sessions.context_windows(df, "s", "q", "a", ["n"], budget=500).collect()}
     assert got["s"][1] == 2 and got["s"][0].startswith("User: q2\nAssistant: aaa") and got["s"][0].count("...") == 2 and got["t"] == ("User: q\nAssistant: ", 1)
+
+
+@pytest.mark.parametrize("size", [1, 3, 4096])
+def test_order_by_blocks(spark, size):
+    """Sums and neighbours by blocks as by one window, with repeated and null numbers."""
+    import random
+
+    from pyspark.sql import Window
+
+    from heronlake.plans.ordered import beside, running_sum
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "a", "b"]), rng.choice([None, *range(9)]), i, rng.choice([None, "x", "yy"]), rng.random() < 0.3) for i in range(120)]
+    df = spark.createDataFrame(rows, "g string, n int, pk int, t string, f boolean")
+    w = Window.partitionBy("g").orderBy("n", "pk")
+    want = {r.pk: (r.b, r.a) for r in df.select("pk", F.lag("t").over(w).alias("b"), F.lead("t").over(w).alias("a")).collect()}
+    assert {r.pk: (r.b, r.a) for r in beside(df, "g", "n", ["n", "pk"], ("b", "t"), ("a", "t"), size).collect()} == want
+    one_window = F.row_number().over(Window.partitionBy("g").orderBy("f", "n", "pk"))
+    want = {r.pk: r.k for r in df.select("pk", one_window.alias("k")).collect()}
+    got = running_sum(df, "g", ["f", "n"], ["n", "pk"], F.lit(1), "k", size)
+    assert {r.pk: r.k for r in got.collect()} == want and got.columns == [*df.columns, "k"]
