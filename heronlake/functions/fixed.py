@@ -50,14 +50,14 @@ ABBREVIATIONS = {
 
 # Phrases and words of the same meaning, in order of use.
 SYNONYMS = (
-    ("heart attack", ("myocardial infarction", "MI", "cardiac event")), ("high blood pressure", ("hypertension", "elevated BP", "elevated blood pressure")), ("hypertension", ("high blood pressure", "elevated BP")),
-    ("stroke", ("cerebrovascular accident", "CVA", "brain attack")), ("chest pain", ("angina", "thoracic pain", "angina pectoris")), ("diabetes", ("diabetes mellitus", "DM", "hyperglycemia")),
-    ("type 2 diabetes", ("T2DM", "type II diabetes", "adult-onset diabetes")), ("type 1 diabetes", ("T1DM", "type I diabetes", "juvenile diabetes")), ("high cholesterol", ("hyperlipidemia", "hypercholesterolemia", "dyslipidemia")),
+    ("heart attack", ("myocardial infarction", "MI", "cardiac event", "coronary event")), ("high blood pressure", ("hypertension", "elevated BP", "elevated blood pressure")), ("hypertension", ("high blood pressure", "elevated BP")),
+    ("stroke", ("cerebrovascular accident", "CVA", "brain attack")), ("chest pain", ("angina", "thoracic pain", "angina pectoris")), ("diabetes", ("diabetes mellitus", "DM", "hyperglycemia", "blood sugar disorder")),
+    ("type 2 diabetes", ("T2DM", "type II diabetes", "adult-onset diabetes", "non-insulin dependent")), ("type 1 diabetes", ("T1DM", "type I diabetes", "juvenile diabetes", "insulin dependent")), ("high cholesterol", ("hyperlipidemia", "hypercholesterolemia", "dyslipidemia")),
     ("asthma", ("bronchial asthma", "reactive airway disease")), ("pneumonia", ("lung infection", "pulmonary infection")), ("copd", ("chronic obstructive pulmonary disease", "emphysema", "chronic bronchitis")),
     ("shortness of breath", ("dyspnea", "breathlessness", "difficulty breathing")), ("headache", ("cephalgia", "head pain")), ("migraine", ("migraine headache", "severe headache")), ("seizure", ("epileptic seizure", "convulsion", "fit")),
-    ("alzheimer", ("alzheimer's disease", "AD", "dementia")), ("stomach pain", ("abdominal pain", "gastralgia", "belly ache")), ("acid reflux", ("GERD", "gastroesophageal reflux", "heartburn")), ("ibs", ("irritable bowel syndrome", "spastic colon")),
+    ("alzheimer", ("alzheimer's disease", "AD", "dementia")), ("stomach pain", ("abdominal pain", "gastralgia", "belly ache", "epigastric pain")), ("acid reflux", ("GERD", "gastroesophageal reflux", "heartburn")), ("ibs", ("irritable bowel syndrome", "spastic colon")),
     ("arthritis", ("joint inflammation", "joint pain", "osteoarthritis")), ("back pain", ("lumbar pain", "lumbago", "dorsalgia")), ("depression", ("major depressive disorder", "MDD", "clinical depression")), ("anxiety", ("anxiety disorder", "generalized anxiety", "GAD")),
-    ("fever", ("pyrexia", "elevated temperature", "high temperature")), ("infection", ("infectious disease", "pathogenic infection")), ("cancer", ("malignancy", "neoplasm", "tumor")), ("allergy", ("allergic reaction", "hypersensitivity", "allergic response")),
+    ("fever", ("pyrexia", "elevated temperature", "high temperature")), ("infection", ("infectious disease", "pathogenic infection")), ("cancer", ("malignancy", "neoplasm", "tumor", "carcinoma")), ("allergy", ("allergic reaction", "hypersensitivity", "allergic response")),
     ("pregnancy", ("gestation", "expecting", "prenatal")), ("kidney disease", ("renal disease", "nephropathy", "kidney failure")), ("liver disease", ("hepatic disease", "liver disorder", "hepatopathy")),
 )
 

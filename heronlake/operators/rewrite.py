@@ -14,7 +14,7 @@ def reformulation(question: Column) -> Column:
     low = F.lower(F.trim(question))
     out = F.lit(None).cast("string")
     for prefix, suffix in reversed(REFORMULATIONS):
-        rest = F.regexp_replace(F.substring(F.trim(question), len(prefix) + 1, 100000), r"^\?+|\?+$", "")
+        rest = F.regexp_replace(F.substr(F.trim(question), F.lit(len(prefix) + 1)), r"^\?+|\?+$", "")
         out = F.when(low.startswith(prefix), F.concat(rest, F.lit(suffix))).otherwise(out)
     return out
 
@@ -23,7 +23,7 @@ def synonym_variants(question: Column, most: int = 3) -> Column:
     """The lower-case question with each phrase that it contains replaced by its synonyms, ``most`` at most."""
     low = F.lower(question)
     none = F.array().cast("array<string>")
-    made = [F.when(F.contains(low, F.lit(p)), F.array(*[F.replace(low, F.lit(p), F.lit(s)) for s in syn])).otherwise(none) for p, syn in SYNONYMS]
+    made = [F.when(F.contains(low, F.lit(p)), F.array(*[F.replace(low, F.lit(p), F.lit(s)) for s in syn[:most]])).otherwise(none) for p, syn in SYNONYMS]
     return F.slice(F.concat(*made), 1, most)
 
 
@@ -42,9 +42,10 @@ def decomposed(question: Column) -> Column:
 
 
 def variants(question: Column, most: int = 3) -> Column:
-    """The question and up to ``most`` others that differ from it and each other in any case."""
+    """The question and up to ``most`` others that differ from it and each other in any case: abbreviations
+    expanded, synonyms, reformulated, decomposed."""
     clean = sanitise(question)
-    made = F.concat(F.array(expand_abbreviations(clean)), F.array_compact(F.array(reformulation(clean))), decomposed(clean))
+    made = F.concat(F.array(expand_abbreviations(clean)), synonym_variants(clean, most), F.array_compact(F.array(reformulation(clean))), decomposed(clean))
     kept = F.aggregate(
         made, F.array().cast("array<string>"),
         lambda acc, x: F.when(F.exists(F.concat(acc, F.array(clean)), lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x))),

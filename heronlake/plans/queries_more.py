@@ -118,7 +118,7 @@ def chunk_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT feedback_id FROM user_feedback WHERE feedback_id IS NOT NULL")
 def stream_first_feedback(spark: SparkSession, d: str) -> DataFrame:
-    """Each feedback id once, with state that is let go a week behind the newest arrival; one trigger
+    """Each feedback id once, with state that is let go 400 days behind the newest arrival; one trigger
     over the whole log, so no repeat is too late for it."""
     s = ST.log_stream(spark, f"{d}/user_feedback.parquet", 1_000_000).where("feedback_id is not null").select("feedback_id", F.col("received_at").cast("timestamp").alias("received_at"))
     return ST.run_to_end(ST.first_by_key(s, "feedback_id", "received_at", "400 days").select("feedback_id"), "first", "append")
@@ -150,7 +150,7 @@ def question_coverage(spark: SparkSession, d: str) -> DataFrame:
     return q.select("pair_id", F.round(overlap_share(t("question"), t("answer")), 6).alias("covered")).where("covered is not null")
 
 
-_SYN = "list_concat(" + ", ".join("CASE WHEN contains(q, '{0}') THEN [{1}] ELSE []::VARCHAR[] END".format(p.replace("'", "''"), ", ".join("replace(q, '{0}', '{1}')".format(p.replace("'", "''"), s.replace("'", "''")) for s in syn)) for p, syn in SYNONYMS) + ")"
+_SYN = "list_concat(" + ", ".join("CASE WHEN contains(q, '{0}') THEN [{1}] ELSE []::VARCHAR[] END".format(p.replace("'", "''"), ", ".join("replace(q, '{0}', '{1}')".format(p.replace("'", "''"), s.replace("'", "''")) for s in syn[:3])) for p, syn in SYNONYMS) + ")"
 
 
 @query(f"""WITH t AS (SELECT response_id, received_at, lower(question) AS q FROM response_trajectory WHERE question IS NOT NULL), v AS (SELECT response_id, received_at, ({_SYN})[1:3] AS v FROM t)

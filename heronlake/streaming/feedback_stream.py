@@ -29,7 +29,7 @@ def first_by_key(stream: DataFrame, key: str, time: str, late: str = "7 days") -
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a stream over all that is there now and gives what it wrote, from a table in the shared
-    checkpoint folder in append mode, from memory for small complete results."""
+    checkpoint folder: rows as they come in append mode, the last result in complete mode."""
     spark = stream.sparkSession
     base = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{spark.sparkContext.applicationId}-{id(stream)}"
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{base}/state").outputMode(mode)
