@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,6 +39,7 @@ _THAI_GAP = re.compile(r"(?<=[฀-๏๚-๿])[^\S\n]+(?=[฀-๏๚-๿])")
 _HAN_GAP = re.compile(r"(?<=[㐀-鿿豈-﫿。！？”」』）…])[^\S\n]+(?=[㐀-鿿豈-﫿“「『（])")
 #: A sentence end glued to the word that follows it ("decides.Dr").
 _GLUED = re.compile(r"^.*[^\W\d_]{2}[.!?][\"'”’»)]*(?=[^\W\d_])(?=.?[^\W\d_])")
+_DIGITS = re.compile(r"\d+")
 _KANA = re.compile(r"[぀-ヿ]")
 _THAI = re.compile(r"[฀-๿]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -55,6 +57,7 @@ def segments(text: str) -> Iterator[tuple[int, int]]:
         yield start, len(text)
 
 
+@lru_cache(1 << 16)
 def _script(c: str) -> str:
     o = ord(c)
     if o < 0x250:
@@ -65,6 +68,7 @@ def _script(c: str) -> str:
     return "other"
 
 
+@lru_cache(1 << 16)
 def _kind(c: str) -> str:
     """Class of the first character after a candidate."""
     if not c:
@@ -84,6 +88,7 @@ def _kind(c: str) -> str:
     return "dash" if c in "-–—" else "mark"
 
 
+@lru_cache(1 << 16)
 def _shape(w: str) -> str:
     if not w:
         return "none"
@@ -145,12 +150,11 @@ def places(text: str, start: int, end: int) -> Iterator[tuple[int, bool, tuple]]
         wide = s[-1] in _WIDE or s[-1] in "।॥؟۔"
         if not spaced and not wide and not (after.isupper() and before.islower()) and not (after in '"«„“(' and after) and not (closers and _script(after) not in ("latin", "digit")):
             continue
-        a = m.start()
-        while a > start and a > m.start() - 24 and not text[a - 1].isspace():
-            a -= 1
-        word = text[a : m.start()].lstrip("\"'“„«「『（([{¿¡—–-•*")
-        word = _GLUED.sub("", word)
-        low = re.sub(r"\d+", "0", word.lower())
+        word = text[max(start, m.start() - 24) : m.start()]
+        word = ("" if not word or word[-1].isspace() else word.rsplit(None, 1)[-1]).lstrip("\"'“„«「『（([{¿¡—–-•*")
+        if "." in word or "!" in word or "?" in word:
+            word = _GLUED.sub("", word)
+        low = _DIGITS.sub("0", word.lower())
         scr = _script(before) if before else "none"
         if scr in ("han", "kana", "thai"):
             low = word[-2:]
