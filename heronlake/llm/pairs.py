@@ -308,6 +308,8 @@ _UNIT_END = re.compile(r"[.!?。！？؟।]+[\"”’»)\]」』）]*(?=\s|$)|[
 _NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 
 
+#: A list that breaks off behind the mark of its next item.
+_BARE_MARK = re.compile(r"\n[^\S\n]*(?:[-*•–—]|\(?(?:\d{1,3}|[A-Za-z]|[ivxIVX]{1,4})[.)])\s*$")
 _LAST_WORD = re.compile(r"[^\s(\"“„«]*$")
 _INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 _SPACES = re.compile(r"\s+")
@@ -387,6 +389,8 @@ def _judge(question: pd.Series, answer: pd.Series) -> pd.DataFrame:
                 r = ("refusal", None, None, None, None)
             elif q and _other_language(visible(q), t):
                 r = ("language", None, None, None, None)
+            elif _BARE_MARK.search(t):
+                r = ("truncated", None, None, None, None)
             else:
                 units, ending = units_of(t)
                 whole = _NUMBER.sub("0", re.sub(r"\s+", " ", t)) if ending else None

@@ -48,6 +48,7 @@ def test_defects_of_a_table(spark):
     rows = [("qa_pair", str(i), Q, f"{full[i]} {full[-i - 1]}") for i in range(len(full))]
     rows += [
         ("qa_pair", "cut", Q, "Store Brenolin below 9 °C; discard it 3 weeks after opening. Most adults notice nausea wi"),
+        ("qa_pair", "list", Q, "Take these steps:\n1. rest at night.\n2."), ("qa_pair", "bullets", Q, "Store Brenolin below 9 °C.\n- rest at night.\n-"), ("qa_pair", "whole list", Q, "Store Brenolin below 9 °C.\n1. Take it with food.\n2. Take it with food."),
         ("qa_pair", "stop", Q, "Most adults notice nausea within 5 days of the first dose"),
         ("qa_pair", "phrase", Q, "an ultrasound scan"),
         ("qa_pair", "null", None, None), ("qa_pair", "copy", Q, Q), ("qa_pair", "copy", Q, Q),
@@ -58,7 +59,7 @@ def test_defects_of_a_table(spark):
     got = P.broken_pairs(df)
     assert got.count() == df.count()
     found = {r.pair_key: r.defect for r in got.collect() if r.defect}
-    assert found == {"cut": "truncated", "null": "empty", "copy": "copied"}
+    assert found == {"cut": "truncated", "list": "truncated", "bullets": "truncated", "null": "empty", "copy": "copied"}
     assert P.broken_pairs(df.limit(0)).count() == 0
 
 
