@@ -36,15 +36,15 @@ def tied_keys(feedback: DataFrame, heavy_rows: int = 200_000) -> DataFrame:
     alone = F.when(session.isNull() & question.isNull(), F.sha1(F.to_json(F.struct(*[F.col(f"`{c}`") for c in feedback.columns]))))
     seen = cut(feedback.select(session.alias("session"), question.alias("question"), alone.alias("alone")).groupBy("session", "question", "alone").agg(F.count(F.lit(1)).alias("n")))
     both = seen.where("session is not null and question is not null").select("session", "question")
-    lead = cut(both.groupBy("question").agg(F.min("session").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    heavy = heavy_keys(lead, "question", least=heavy_rows, weight="n")
-    edges = salted_join(both, lead.select("question", "lead"), "question", heavy=heavy, spread_by=["session"]).select("session", "lead")
+    # of each question its sessions, and the rows that have no session
+    lead = seen.where("question is not null").groupBy("question").agg(F.min("session").alias("lead"), F.count("session").alias("sessions"), F.sum(F.when(F.col("session").isNull(), F.col("n"))).alias("loose"))
+    lead = cut(lead.where("sessions > 1 or loose is not null"))
+    shared = lead.where("sessions > 1")
+    heavy = heavy_keys(shared, "question", least=heavy_rows, weight="sessions")
+    edges = salted_join(both, shared.select("question", "lead"), "question", heavy=heavy, spread_by=["session"]).select("session", "lead")
     nodes = connected_components(edges, "session", "lead", heavy_rows=heavy_rows)
-    # a question without a session ties its rows to the sessions that asked it
-    first = both.groupBy("question").agg(F.min("session").alias("lead"))
-    loose = seen.where("session is null and question is not null").select("question", "n").join(first, "question", "left")
     of_session = seen.where("session is not null").groupBy(F.col("session").alias("key")).agg(F.sum("n").alias("n")).withColumn("kind", F.lit("s")).withColumn("at", F.col("key"))
-    of_question = loose.select(F.col("question").alias("key"), "n", F.lit("q").alias("kind"), F.col("lead").alias("at"))
+    of_question = lead.where("loose is not null").select(F.col("question").alias("key"), F.col("loose").alias("n"), F.lit("q").alias("kind"), F.col("lead").alias("at"))
     placed = of_session.unionByName(of_question).join(nodes, F.col("at") == F.col("node"), "left")
     named = placed.select("kind", "key", "n", F.coalesce(F.concat(F.lit("s|"), F.coalesce("root", "at")), F.concat_ws("|", "kind", "key")).alias("unit"))
     return named.unionByName(seen.where("alone is not null").select(F.lit("r").alias("kind"), F.col("alone").alias("key"), "n", F.concat(F.lit("r|"), "alone").alias("unit")))
