@@ -184,7 +184,7 @@ class Block:
         r = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
         return r, np.where(self.terms[r] == terms, self.n[r], 0)
 
-    def within(self, rank: np.ndarray | int, there: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    def within(self, rank: np.ndarray | int, there: np.ndarray | bool, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Whether a list (which must be ``there``) has a place from ``lo`` to ``hi``; both lie in the block."""
         i = np.minimum(np.searchsorted(self.key, rank * self.span + lo), len(self.key) - 1)
         return there & (lo <= hi) & (self.key[i] >= rank * self.span + lo) & (self.key[i] <= rank * self.span + hi)
@@ -286,12 +286,19 @@ def proximity(block: Block, held: Passages, slop: int, share: float) -> Iterator
         doc = packed_offset // (2 * block.span)
         offset = packed_offset - doc * (2 * block.span) - block.span // 2
         lo, hi = block.bounds(doc)
-        matched = np.zeros(len(doc), dtype=np.int64)
-        for j in range(n):
+        # from the rarest term on, an offset leaves as soon as it misses more than the share allows
+        left, missed = np.arange(len(doc)), np.zeros(len(doc), dtype=np.int64)
+        for j in np.argsort(c, kind="stable").tolist():
             if c[j]:
-                matched += block.within(int(r[j]), np.ones(len(doc), dtype=bool), np.maximum(offset + j - slop, lo), np.minimum(offset + j + slop, hi))
-        good = matched >= need[own]
-        yield np.full(good.sum(), own), doc[good], matched[good]
+                missed = missed + ~block.within(int(r[j]), True, np.maximum(offset[left] + (j - slop), lo[left]), np.minimum(offset[left] + (j + slop), hi[left]))
+            else:
+                missed = missed + 1
+            stay = missed <= n - need[own]
+            if not stay.all():
+                left, missed = left[stay], missed[stay]
+                if not len(left):
+                    break
+        yield np.full(len(left), own), doc[left], n - missed
 
 
 def _matcher(sent: Broadcast, search: Callable, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
