@@ -94,3 +94,18 @@ HARM = (
     (r"take\s+\d{3,}\s*(mg|ml)", "dangerous_dosage", 0.8),
     (r"(children|infant|baby)\s+should\s+take", "pediatric_risk", 0.7),
 )
+
+# Phrases of a question after a cause, and what tells of one in a document.
+CAUSE_QUESTIONS = ("what causes", "what cause", "caused by", "why does", "why do", "etiology", "reason for")
+CAUSE_MARKERS = ("caused by", "cause", "causes", "etiology", "due to", "trigger", "triggers", "because", "pathophysiology", "mechanism")
+
+# Abbreviations whose full stop ends no sentence of an answer that is marked up.
+MARKED_ABBREVIATIONS = ("Dr.", "Mr.", "Mrs.", "Ms.", "mg.", "ml.", "vs.", "i.e.", "e.g.", "etc.")
+
+# How answers cite.
+CITATIONS = (
+    r"\(\s*[A-Z][a-z]+(?:\s+et\s+al\.?)?,?\s*\d{4}\s*\)",
+    r"according\s+to\s+(?:a\s+)?(?:recent\s+)?(?:study|research|paper)",
+    r"published\s+in\s+(?:the\s+)?[A-Z]",
+    r"\b(?:doi|DOI)\s*:\s*10\.\d{4,}",
+)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .fixed import ABBREVIATIONS, INJECTIONS, LOG_REDACTION
+from .fixed import ABBREVIATIONS, INJECTIONS, LOG_REDACTION, MARKED_ABBREVIATIONS
 
 
 def terms(text: Column) -> Column:
@@ -37,6 +37,28 @@ def compatible(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+@F.pandas_udf(T.StringType())
+def _decomposed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
+
+
+def unveiled(text: Column) -> Column:
+    """Text in which patterns are not hidden: compatibility-decomposed (only texts beyond ASCII
+    are sent to Python for it), white space of any kind as one blank, zero-width characters out."""
+    plain = F.coalesce(_decomposed(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text)), text)
+    return F.regexp_replace(F.regexp_replace(plain, r"[\s\x1C-\x1F\x{85}\p{Z}]+", " "), r"[\x{200B}-\x{200D}\x{FEFF}]", "")
+
+
+def marked_sentences(text: Column) -> Column:
+    """Sentences for marking up: cut at runs of end marks but for those of common abbreviations, those of
+    at most ten characters left out."""
+    hide, show = "<DOT>", "."
+    for short in MARKED_ABBREVIATIONS:
+        text = F.replace(text, F.lit(short), F.lit(short.replace(show, hide)))
+    parts = F.transform(F.split(text, r"[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    return F.transform(F.filter(parts, lambda s: F.length(s) > 10), lambda s: F.replace(s, F.lit(hide), F.lit(show)))
+
+
 def redact_log(text: Column) -> Column:
     for pattern, tag in LOG_REDACTION:
         text = F.regexp_replace(text, pattern, tag)

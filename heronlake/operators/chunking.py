@@ -28,10 +28,19 @@ def size_of(source: Column, sizes: tuple, default: int) -> Column:
     return out
 
 
-def word_windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50) -> DataFrame:
+def word_windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 50, to_last_word: bool = False) -> DataFrame:
     """Windows of ``size`` words, each starting ``size - overlap`` words after the one before, until one
-    reaches the end: ``key, chunk_id`` (from 1), ``n_words, chunk``. All in the JVM."""
+    reaches the end: ``key, chunk_id`` (from 1), ``n_words, chunk``. All in the JVM.
+
+    With ``to_last_word`` windows go on as long as they start within the text, so the last may lie wholly
+    in the one before; and a text that fits one window, blank ones too, stays as it is written."""
     step = size - overlap
+    if to_last_word:
+        w = docs.where(F.col(text).isNotNull()).select(key, F.col(text).alias("t"), words(F.col(text)).alias("w"))
+        fits = F.size("w") <= size
+        cut = w.select(key, "t", "w", F.posexplode(F.sequence(F.lit(0), F.when(fits, F.lit(0)).otherwise(F.ceil(F.size("w") / step).cast("int") - 1))).alias("i", "j"))
+        piece = F.slice("w", F.col("i") * step + 1, F.lit(size))
+        return cut.select(key, (F.col("i") + 1).alias("chunk_id"), F.size(piece).alias("n_words"), F.when(fits, F.col("t")).otherwise(F.array_join(piece, " ")).alias("chunk"))
     w = docs.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("w")).where(F.size("w") > 0)
     n = F.greatest(F.lit(1), F.ceil((F.size("w") - overlap) / step).cast("int"))
     cut = w.select(key, "w", F.posexplode(F.sequence(F.lit(0), n - 1)).alias("i", "j"))

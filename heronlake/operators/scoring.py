@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CAUSE_MARKERS, CAUSE_QUESTIONS, CITATIONS
 from .evaluation import overlap_share
 
 # Words that carry no content in overlap tests; words of denial are none of them.
@@ -68,16 +69,19 @@ def answerable_hits(hits: DataFrame, questions: DataFrame, text: str, floor: flo
 
     ``hits``: ``query_id, score`` and the text; a hit is kept at or above the floor and ``ratio`` of the
     best score; at least ``least`` of them, and one that has ``covered`` of the question's words of
-    more than three letters, make it answerable. Questions without such words need no cover.
+    more than three letters, make it answerable. Questions without such words need no cover; a question
+    after a cause needs a kept hit that speaks of one.
     """
     words = lambda c: F.filter(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))), lambda x: F.length(x) > 3)
     asked = questions.select("query_id", F.array_except(words(F.col("query")), F.array(*[F.lit(w) for w in (*STOP_WORDS, *DENIALS)])).alias("q"))
     top = hits.groupBy("query_id").agg(F.max("score").alias("top"))
     kept = hits.join(top, "query_id").where(F.col("score") >= F.greatest(F.lit(floor), ratio * F.col("top")))
     cover = F.when(F.size("q") > 0, F.size(F.array_intersect("q", words(F.col(text)))) / F.size("q")).otherwise(F.lit(1.0))
-    by = kept.join(asked, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(cover >= covered).alias("covering"))
+    has = lambda c, parts: F.exists(F.array(*[F.lit(p) for p in parts]), lambda p: F.contains(F.lower(F.coalesce(c, F.lit(""))), p))
+    by = kept.join(asked, "query_id").groupBy("query_id").agg(F.count(F.lit(1)).alias("kept"), F.count_if(cover >= covered).alias("covering"), F.max(has(F.col(text), CAUSE_MARKERS)).alias("causal"))
+    told = ~has(F.col("query"), CAUSE_QUESTIONS) | F.coalesce("causal", F.lit(False))
     z = lambda c: F.coalesce(c, F.lit(0))
-    return questions.select("query_id").join(by, "query_id", "left").select("query_id", z("kept").alias("kept"), z("covering").alias("covering"), ((z("kept") >= least) & (z("covering") > 0)).alias("answerable"))
+    return questions.select("query_id", "query").join(by, "query_id", "left").select("query_id", z("kept").alias("kept"), z("covering").alias("covering"), ((z("kept") >= least) & (z("covering") > 0) & told).alias("answerable"))
 
 
 def sentences(text: Column) -> Column:
@@ -111,6 +115,12 @@ def contradictions(answers: DataFrame, key: str, answer: str, least: float = 0.5
     return s.withColumn("overlap", F.round(share, 6)).where(share > least).select(key, "i", "j", F.col("a.s").alias("first"), F.col("b.s").alias("second"), "overlap")
 
 
+def unfounded_citations(answer: Column, context: Column) -> Column:
+    """What an answer cites as a study, paper or number of one and its context does not contain, in any case."""
+    cited = F.concat(*[F.regexp_extract_all(answer, F.lit(p), F.lit(0)) for p in CITATIONS])
+    return F.filter(cited, lambda c: ~F.contains(F.lower(F.coalesce(context, F.lit(""))), F.lower(c)))
+
+
 def merge_spans(spans: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """Union of intervals that overlap or touch, within each key: ``key, start, end, parts``."""
     before = Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_composed, queries_evaluation, queries_feedback, queries_more, queries_retrieval, queries_scoring, queries_text
+from . import queries_composed, queries_evaluation, queries_feedback, queries_judging, queries_more, queries_retrieval, queries_scoring, queries_text
 from .registry import REGISTRY, SQL
 
-_MODULES = (queries_text, queries_retrieval, queries_evaluation, queries_feedback, queries_scoring, queries_more, queries_composed)
+_MODULES = (queries_text, queries_retrieval, queries_evaluation, queries_feedback, queries_scoring, queries_more, queries_composed, queries_judging)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

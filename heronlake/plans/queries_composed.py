@@ -40,9 +40,10 @@ def retrieve_diverse(spark: SparkSession, d: str) -> DataFrame:
 @query(rf"""WITH {_BM25_SQL}, h AS (SELECT query_id, doc_id, score FROM sparse WHERE rank <= 5), t AS (SELECT query_id, max(score) AS top FROM h GROUP BY 1),
   k AS (SELECT query_id, text FROM h JOIN t USING (query_id) JOIN documents USING (doc_id) WHERE score >= greatest(0.01, 0.5 * top)),
   a AS (SELECT doc_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(title), '([\p{{L}}\p{{N}}_]+)', 1)), lambda x: length(x) > 3 AND NOT list_contains({_STOP}, x) AND NOT list_contains({_DENY}, x)) AS q FROM documents WHERE doc_id % 50 = 0 AND title IS NOT NULL),
-  c AS (SELECT query_id, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, regexp_extract_all(lower(coalesce(text, '')), '([\p{{L}}\p{{N}}_]+)', 1)))::DOUBLE / len(q) END AS c FROM k JOIN a USING (query_id)),
-  g AS (SELECT query_id, count(*) AS kept, count(CASE WHEN c >= 0.3 THEN 1 END) AS covering FROM c GROUP BY 1)
-  SELECT query_id, coalesce(kept, 0) AS kept, coalesce(covering, 0) AS covering, coalesce(kept, 0) >= 1 AND coalesce(covering, 0) > 0 AS answerable FROM a LEFT JOIN g USING (query_id)""")
+  c AS (SELECT query_id, CASE WHEN len(q) = 0 THEN 1.0 ELSE len(list_intersect(q, regexp_extract_all(lower(coalesce(text, '')), '([\p{{L}}\p{{N}}_]+)', 1)))::DOUBLE / len(q) END AS c, regexp_matches(lower(coalesce(text, '')), 'cause|etiology|due to|trigger|pathophysiology|mechanism') AS causal FROM k JOIN a USING (query_id)),
+  g AS (SELECT query_id, count(*) AS kept, count(CASE WHEN c >= 0.3 THEN 1 END) AS covering, bool_or(causal) AS causal FROM c GROUP BY 1)
+  SELECT query_id, coalesce(kept, 0) AS kept, coalesce(covering, 0) AS covering, coalesce(kept, 0) >= 1 AND coalesce(covering, 0) > 0 AND (NOT regexp_matches(lower(title), 'what causes?|caused by|why does|why do|etiology|reason for') OR coalesce(causal, false)) AS answerable
+  FROM a JOIN (SELECT doc_id AS query_id, title FROM documents) USING (query_id) LEFT JOIN g USING (query_id)""")
 def answerable_questions(spark: SparkSession, d: str) -> DataFrame:
     """Titles of every fiftieth document, by what their five best hits cover of them."""
     docs, asked = table(spark, d, "documents"), _titles(spark, d)
