@@ -31,6 +31,14 @@ def heavy_keys(
     return [r.k for r in counts.where((F.col("n") >= floor) & F.col("k").isNotNull()).select("k").collect()]
 
 
+def unused(name: str, *taken: list[str]) -> str:
+    """``name``, behind as many underscores as no column of the tables has."""
+    there = {c.lower() for columns in taken for c in columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, key: str, how: str = "inner", heavy: list | None = None, spread_by: list[str] | None = None, salts: int = SALTS
 ) -> DataFrame:
@@ -43,6 +51,7 @@ def salted_join(
     if not heavy:
         return big.join(small, key, how)
     is_heavy = F.col(key).isin(heavy)
-    left = big.withColumn("_salt", F.when(is_heavy, F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    right = small.withColumn("_salt", F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    salt = unused("_salt", big.columns, small.columns)
+    left = big.withColumn(salt, F.when(is_heavy, F.pmod(F.xxhash64(*(spread_by or big.columns)), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    right = small.withColumn(salt, F.explode(F.when(is_heavy, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, salt], how).drop(salt)
