@@ -310,8 +310,10 @@ def _matcher(sent: Broadcast, search: Callable, names: list[str]) -> Callable[[p
         items, passages = sent.value
         found = []
         for own, doc, *values in search(block, passages) if len(named) else ():
+            if not len(doc):
+                continue  # a frame without rows has no types that Arrow could take for text
             found.append(pd.DataFrame(dict(zip(names, ([block.docs[i] for i in doc], [items[i][0] for i in own], [items[i][1] for i in own], *values)))))
-        return pd.concat(found) if found else pd.DataFrame({n: [] for n in names})
+        return pd.concat(found) if found else pd.DataFrame({n: [] for n in names}, dtype=object)
 
     return match
 
