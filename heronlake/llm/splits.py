@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import connected_components
 from ..plans.lineage import cut
-from ..plans.skew import heavy_keys, salted_join
+from ..plans.skew import heavy_keys, salted_join, unused
 from .common import clean_id
 
 BINS = 200
@@ -188,16 +188,18 @@ def assign_splits(feedback: DataFrame, split_share: DataFrame, bins: int = BINS,
     """Every row of ``feedback`` with a column ``split`` added.
 
     Rows with neither id are units of their own (equal rows share one). An empty table stays empty;
-    a column named ``split`` that is already there is replaced. Unit weights are rows.
+    a column named ``split`` that is already there is replaced, all others come through under whatever
+    name. Unit weights are rows.
     """
     rows = feedback.drop("split")
     keys = cut(place_keys(rows, split_share, bins, heavy_rows))
     session, question = clean_id("session_id"), clean_id("question_id")
     alone = F.sha1(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))
     key = F.coalesce(F.concat(F.lit("s|"), session), F.concat(F.lit("q|"), question), F.concat(F.lit("r|"), alone))
-    split_of = keys.select(F.concat_ws("|", "kind", "key").alias("_key"), "split", "n")
-    heavy = heavy_keys(split_of, "_key", least=heavy_rows, weight="n")
-    return salted_join(rows.withColumn("_key", key), split_of.drop("n"), "_key", heavy=heavy, spread_by=["feedback_id", "received_at"]).drop("_key")
+    own = unused("_key", rows.columns)
+    split_of = keys.select(F.concat_ws("|", "kind", "key").alias(own), "split", "n")
+    heavy = heavy_keys(split_of, own, least=heavy_rows, weight="n")
+    return salted_join(rows.withColumn(own, key), split_of.drop("n"), own, heavy=heavy, spread_by=["feedback_id", "received_at"]).drop(own)
 
 
 def split_report(assigned: DataFrame, split_share: DataFrame) -> DataFrame:
