@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heronlake.functions.text import marked_sentences, unveiled
 from heronlake.operators import judging as J
+from heronlake.operators import retrieval as R
 from heronlake.operators import scoring as C
 from heronlake.operators.chunking import word_windows
 
@@ -84,3 +85,25 @@ def test_unveiled_as_in_python(spark):
         return None if t is None else re.sub("[​‌‍﻿]", "", re.sub(r"\s+", " ", unicodedata.normalize("NFKD", t)))
 
     assert [r.p for r in df.select(unveiled(F.col("t")).alias("p")).collect()] == [want(t) for t in texts]
+
+
+def test_models_of_the_caller(spark):
+    def embedder():
+        def embed(texts):
+            assert 0 < len(texts) <= 3
+            return [(len(t), t.count("a")) for t in texts]
+
+        return embed
+
+    df = spark.createDataFrame([(i, "a" * i if i % 4 else None, "x") for i in range(20)], "i int, t string, embedding_of string").repartition(2)
+    got = {r.i: r.embedding for r in R.embedded(df, "t", embedder, batch=3).collect()}
+    assert got == {i: [float(i), float(i)] if i % 4 else None for i in range(20)}
+    assert R.embedded(df.limit(0), "t", embedder).count() == 0
+
+    def reranker():
+        return lambda pairs: [len(set(q.split()) & set(t.split())) for q, t in pairs]
+
+    hits = spark.createDataFrame([(1, 10, "fever"), (1, 11, "rest and fever"), (1, 12, None), (1, 13, "rest"), (2, 10, "fever")], "query_id int, doc_id int, text string")
+    asked = spark.createDataFrame([(1, "fever and rest"), (2, None)], "query_id int, query string")
+    ranked = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in R.reranked(hits, asked, "text", reranker, k=4, batch=2).collect())
+    assert ranked == [(1, 1, 11, 3.0), (1, 2, 10, 1.0), (1, 3, 13, 1.0), (1, 4, 12, None), (2, 1, 10, None)]
