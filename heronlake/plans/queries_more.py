@@ -129,13 +129,14 @@ def corrective_retrieve(spark: SparkSession, d: str) -> DataFrame:
     """Questions with fewer than two good hits asked once more, with three new longer words of their best
     hit; the second answer counts only where it has more good hits."""
     docs, asked, good = table(spark, d, "documents"), _titles(spark, d), 6.0
-    index = cut(retrieval.document_terms(docs, "doc_id", "text"))
-    first = cut(retrieval.bm25(docs, "doc_id", "text", asked, 5, index))
+    counts = retrieval.term_counts(docs, "text")
+    first = cut(retrieval.bm25(docs, "doc_id", "text", asked, 5, counts))
     weak = asked.join(first.groupBy("query_id").agg(F.count_if(F.col("score") >= good).alias("good")), "query_id", "left").where(F.coalesce("good", F.lit(0)) < 2)
-    best = first.where("rank = 1").join(docs.select("doc_id", "text"), "doc_id").select("query_id", scoring.key_terms(F.col("text")).alias("t"))
+    top = first.where("rank = 1")
+    best = top.join(retrieval.of_hits(docs, "doc_id", top, "text"), "doc_id").select("query_id", scoring.key_terms(F.col("text")).alias("t"))
     more = F.slice(F.filter(F.array_except(F.col("t"), scoring.key_terms(F.col("query"))), lambda w: F.length(w) >= 5), 1, 3)
     again = weak.join(best, "query_id").select("query_id", F.concat_ws(" ", F.col("query"), F.array_join(more, " ")).alias("query"))
-    second = cut(retrieval.bm25(docs, "doc_id", "text", again, 5, index))
+    second = cut(retrieval.bm25(docs, "doc_id", "text", again, 5, counts))
     count = lambda h, n: h.groupBy("query_id").agg(F.count_if(F.col("score") >= good).alias(n))
     better = count(second, "b").join(count(first, "a"), "query_id", "left").where(F.col("b") > F.coalesce("a", F.lit(0))).select("query_id")
     return first.join(better, "query_id", "left_anti").withColumn("corrected", F.lit(False)).unionByName(second.join(better, "query_id", "left_semi").withColumn("corrected", F.lit(True)))
