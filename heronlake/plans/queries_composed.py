@@ -47,8 +47,8 @@ def retrieve_diverse(spark: SparkSession, d: str) -> DataFrame:
 def answerable_questions(spark: SparkSession, d: str) -> DataFrame:
     """Titles of every fiftieth document, by what their five best hits cover of them."""
     docs, asked = table(spark, d, "documents"), _titles(spark, d)
-    hits = R.bm25(docs, "doc_id", "text", asked, 5).join(docs.select("doc_id", "text"), "doc_id")
-    return C.answerable_hits(hits, asked, "text")
+    hits = R.bm25(docs, "doc_id", "text", asked, 5)
+    return C.answerable_hits(hits.join(R.of_hits(docs, "doc_id", hits, "text"), "doc_id"), asked, "text")
 
 
 @query(f"""WITH {_DENSE_SQL}, g AS (SELECT query_id, rank, CASE WHEN q.label = x.label THEN 2 WHEN abs(q.label - x.label) = 1 THEN 1 ELSE 0 END AS g FROM dense JOIN embeddings q ON q.vec_id = query_id JOIN embeddings x ON x.vec_id = doc_id WHERE rank <= 10),
