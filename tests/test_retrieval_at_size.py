@@ -37,7 +37,7 @@ def stored(spark):
     return shuffled + sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if folder)
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_retrieve", "lost_in_middle", "weight_sweep", "retrieve_documents", "retrieve_diverse", "gold_relevance", "overlap_relevance", "agreeing_sources", "answerable_questions"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_retrieve", "lost_in_middle", "weight_sweep", "retrieve_documents", "retrieve_diverse", "gold_relevance", "overlap_relevance", "agreeing_sources", "answerable_questions", "corrective_retrieve"])
 def test_disk_is_less_than_the_texts(spark, tables, name):
     data, text_bytes = tables
     before = stored(spark)
